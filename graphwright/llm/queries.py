@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, linededup, mixing, simhash, tokenids
+from . import bpe, embedding, langid, linededup, mixing, quality, simhash, tokenids
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +45,15 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digests(docs, _tokenizer("byte_bpe_50k.tiktoken"), _pattern())
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (_table(spark, sf_dir, t) for t in ("documents", "labels"))
+    return quality.quality_rules(docs, labels)[0]
+
+
+def op8_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
@@ -58,7 +67,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_token_ids, op2_simhash, op5_language_id, op6_bpe, op9_mixing, op10_line_dedup)
+    for f in (op1_token_ids, op2_simhash, op5_language_id, op6_bpe, op7_quality_rules, op8_embedding, op9_mixing, op10_line_dedup)
 }
 
 
