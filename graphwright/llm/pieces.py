@@ -43,29 +43,26 @@ class Memo(dict):
     A full generation becomes the old one; what is asked for again moves back.
     """
 
-    def __init__(self, encode: Callable[[str], bytes], entries: int = 600_000, longest: int = 64):
+    def __init__(self, encode: Callable[[str], bytes], entries: int = 400_000, longest: int = 64):
         super().__init__()
         self.encode, self.entries, self.longest = encode, entries, longest
         self.old: dict[str, bytes] = {}
 
-    def put(self, piece: str, ids: bytes) -> None:
-        if len(self) >= self.entries:
+    def room(self, count: int = 1) -> None:
+        """Make room for new entries."""
+        if len(self) + count > self.entries:
             self.old = dict(self)
             self.clear()
-        self[piece] = ids
 
     def __missing__(self, piece: str) -> bytes:
         ids = self.old.get(piece)
         if ids is None:
             ids = self.encode(piece)
         if len(piece) <= self.longest:
-            self.put(piece, ids)
+            self.room()
+            self[piece] = ids
         return ids
 
-    def unknown(self, wanted: Iterable[str]) -> list[str]:
-        """Those of the pieces, each once, that neither generation has."""
-        return [x for x in set(wanted) if x not in self and x not in self.old]
-
 
 def portions(texts: Iterable[str], chars: int = 1_000_000) -> Iterator[list[str]]:
     """The texts in lists of about so many characters."""

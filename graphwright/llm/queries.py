@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embedding, langid, linededup, mixing, quality, simhash, tokenids
+from . import bpe, embedding, langid, linededup, mixing, ordinal, passages, quality, simhash, tokenids
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,17 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(_table(spark, sf_dir, "documents"))
 
 
+def op3_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(_table(spark, sf_dir, "documents"))
+
+
+def op4_quality_grade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (_table(spark, sf_dir, t) for t in ("documents", "labels"))
+    model = ordinal.fit(docs, ordinal.grade_of_labels(labels))
+    graded = ordinal.grade(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model)
+    return graded.select("doc_id", "expected_grade", "p_tail", (F.col("p_tail") >= 0.5).alias("kept"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = langid.identify(_table(spark, sf_dir, "documents"))
     return said.select("doc_id", "held_out", "lang_pred", "score")
@@ -67,7 +78,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_token_ids, op2_simhash, op5_language_id, op6_bpe, op7_quality_rules, op8_embedding, op9_mixing, op10_line_dedup)
+    for f in (op1_token_ids, op2_simhash, op3_passages, op4_quality_grade, op5_language_id, op6_bpe, op7_quality_rules, op8_embedding, op9_mixing, op10_line_dedup)
 }
 
 

@@ -18,7 +18,6 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -180,26 +179,44 @@ class _Encoder:
         ) and len(line_feed) == 1 else None
 
     def _ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+        # this call of the library leaves out the offsets, which nothing here needs
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     def _learn(self, new: list[str]) -> None:
-        whole = "\n".join(new)
-        ids = np.array(self._ids(whole), self.kind)
-        cuts = np.flatnonzero(ids == self.line_feed)
-        if len(cuts) + 1 == len(new):
-            for piece, start, end in zip(new, [0, *(cuts + 1)], [*cuts, len(ids)], strict=True):
-                self.memo.put(piece, ids[start:end].tobytes())
+        """Put the ids of new pieces of plain texts into the memo."""
+        if self.line_feed is None or len(new) < 2:
+            return
+        ids = np.array(self._ids("\n".join(new)), self.kind)
+        cuts = (np.flatnonzero(ids == self.line_feed) * self.width).tolist()
+        if len(cuts) + 1 != len(new):
+            return
+        raw, start = ids.tobytes(), 0
+        self.memo.room(len(new))
+        for piece, end in zip(new, [*cuts, len(raw)], strict=True):
+            self.memo[piece] = raw[start:end]
+            start = end + self.width
 
     def all(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
-        cut = [pieces(t) for t in texts]
-        plainly = (own for t, own in zip(texts, cut, strict=True) if plain(t))
-        longest = self.memo.longest
-        new = self.memo.unknown(chain.from_iterable(plainly))
-        new = [p for p in new if p and p != "\n" and len(p) <= longest]
-        if len(new) > 1 and self.line_feed is not None:
-            self._learn(new)
-        return [b"".join(map(self.memo.__getitem__, own)) for own in cut]
+        known, old, longest = self.memo.get, self.memo.old.get, self.memo.longest
+        coded, open_at, new = [], [], {}
+        for text in texts:
+            own = pieces(text)
+            ids = list(map(known, own))
+            if None in ids:
+                simple = plain(text)
+                for k in [k for k, v in enumerate(ids) if v is None]:
+                    piece = own[k]
+                    ids[k] = old(piece)
+                    if ids[k] is None:
+                        open_at.append((ids, k, piece))
+                        if simple and piece and piece != "\n" and len(piece) <= longest:
+                            new[piece] = None
+            coded.append(ids)
+        self._learn(list(new))
+        for ids, k, piece in open_at:
+            ids[k] = self.memo[piece]
+        return [b"".join(ids) for ids in coded]
 
 
 _encoders: dict[str, _Encoder] = {}
