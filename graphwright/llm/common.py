@@ -2,58 +2,23 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.storage import dropped, shared_folder, written
+
+__all__ = ["SPACE", "WORD", "components", "dropped", "merged", "shared_folder", "whole_groups", "written"]
+
 #: Regular expression of a word: a run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: The characters between words.
 SPACE = " \t\n\x0b\x0c\r"
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the driver and all executors share.
-
-    The folder is what ``spark.checkpoint.dir`` names. Only where that is
-    unset, as in a local test, a temporary folder takes its place.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="graphwright-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The same rows, read again from a Parquet table in the shared folder.
-
-    This cuts the lineage: a lost executor costs the tasks that ran on it, not
-    what came before the table.
-    """
-    spark = df.sparkSession
-    path = shared_folder(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def dropped(df: DataFrame) -> None:
-    """Delete the table in the shared folder that ``written`` made for df."""
-    spark = df.sparkSession
-    for file in df.inputFiles()[:1]:
-        path = spark._jvm.org.apache.hadoop.fs.Path(file.rpartition("/")[0])
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def strings(column: pa.ChunkedArray | pa.Array) -> list[str | None]:
-    return column.to_pylist()
-
-
 def whole_groups(
     batches: Iterator[pa.RecordBatch], keys: list[str], rows: int
 ) -> Iterator[pa.Table]:
