@@ -91,12 +91,12 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Data
     Rows with a null doc_id are in no document: they lose no line and their
     lines are not counted. An empty table gives no rows.
     """
-    losses = repeated_lines(docs, min_chars, min_docs).select(
-        F.col("doc_id").alias("__doc"), F.col("hashes").alias("__hashes")
-    )
-    docs = docs.drop("n_lines", "n_dropped", "deduped")
-    joined = docs.join(losses, F.col("doc_id").cast("long") == F.col("__doc"), "left").drop("__doc")
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    losses = repeated_lines(docs, min_chars, min_docs).withColumnRenamed("doc_id", "id")
+    kept_columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "deduped")]
+    # the row as one column, so that no name of docs can clash
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.struct(*kept_columns).alias("row"))
+    joined = rows.join(losses, "id", "left")
+    text = F.coalesce(F.col("row.text").cast("string"), F.lit(""))
 
     @F.pandas_udf("n_lines long, n_dropped long, deduped string")
     def kept(texts: pd.Series, hashes: pd.Series) -> pd.DataFrame:
@@ -114,7 +114,5 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Data
             rows.append((len(all_lines), len(all_lines) - len(stay), "\n".join(stay)))
         return pd.DataFrame(rows, columns=["n_lines", "n_dropped", "deduped"])
 
-    return (
-        joined.withColumn("__kept", kept(text, F.col("__hashes")))
-        .select(*docs.columns, "__kept.n_lines", "__kept.n_dropped", "__kept.deduped")
-    )
+    out = joined.select("row", kept(text, F.col("hashes")).alias("kept"))
+    return out.select("row.*", "kept.n_lines", "kept.n_dropped", "kept.deduped")

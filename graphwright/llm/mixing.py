@@ -151,10 +151,10 @@ def mix(
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """The rows of docs that the mix takes, each as often as it takes it."""
-    taken = mix(docs, **how).where("taken > 0").groupBy("doc_id").agg(
-        F.max((F.col("taken") / F.col("size")).cast("int")).alias("__times")
+    taken = mix(docs, **how).where("taken > 0").groupBy(F.col("doc_id").alias("id")).agg(
+        F.max((F.col("taken") / F.col("size")).cast("int")).alias("times")
     )
-    joined = docs.join(taken.withColumnRenamed("doc_id", "__doc"), F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")))
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__times"))).select(*docs.columns)
-
-
+    # the row as one column, so that no name of docs can clash
+    rows = docs.select(F.col("doc_id").cast("long").alias("own"), F.struct(*docs.columns).alias("row"))
+    joined = rows.join(taken, F.col("own").eqNullSafe(F.col("id")))
+    return joined.select("row", F.explode(F.sequence(F.lit(1), "times"))).select("row.*")
