@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.network import reaches_another
 from ..functions.values import logon_guid, logon_id
-from .joins import band_join
+from .joins import band_join, resolved
 
 
 def session_operations(logons: DataFrame, operations: DataFrame) -> DataFrame:
@@ -117,3 +118,22 @@ def account_names(df: DataFrame) -> DataFrame:
     name = F.concat_ws("\\", domain, F.substring_index(F.lower("login"), "@", 1))
     names = F.collect_set(F.when(F.col("domain").isNotNull() & F.col("login").isNotNull(), name))
     return df.groupBy("node").agg(names.alias("n")).select("node", F.when(F.size("n") == 1, F.get("n", F.lit(0))).alias("name"))
+
+
+def remote_sessions(records: DataFrame, assignments: DataFrame, bucket: int = 86_400) -> DataFrame:
+    """(record, source, target, relation): where the remote sessions of records came from.
+
+    records (record, terminal, src_ip, at, transcript), assignments (src_ip,
+    start_s, end_s, source). determined sources give terminal_remote_session
+    unless they are the target; addresses without any assignment that can be
+    another terminal's give unidentified_source. Of records of one transcript
+    the first counts.
+    """
+    first = records.groupBy("transcript").agg(F.min("record").alias("record"))
+    own = records.join(first, ["transcript", "record"], "left_semi")
+    found = resolved(own, assignments, ["src_ip"], "record", "at", "start_s", "end_s", "source", bucket)
+    joined = own.join(found, "record")
+    relation = F.when((F.col("outcome") == "determined") & (F.col("source") != F.col("terminal")), "terminal_remote_session").when(
+        (F.col("outcome") == "none") & reaches_another(F.col("src_ip")), "unidentified_source"
+    )
+    return joined.withColumn("relation", relation).where("relation is not null").select("record", "source", F.col("terminal").alias("target"), "relation")
