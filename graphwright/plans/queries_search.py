@@ -12,7 +12,7 @@ from .queries_records import _access_lines, event_fields
 from .registry import query, table
 
 _MATCHED = _EVIDENCE + """
-, m as (select distinct dst as node from e where time < timestamp '1998-01-01' and src = 'c7')"""
+, m as (select distinct dst as node from e where src = 'c7' and record in (select record from e where time < timestamp '1998-01-01' and src = 'c7'))"""
 
 
 def _graph(spark, sf_dir):
