@@ -172,7 +172,7 @@ class _Encoder:
         self.width = 2 if tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.kind = f"<u{self.width}"
         self.tokenizer = tokenizer
-        self.memo = Memo(lambda piece: np.array(self._ids(piece), self.kind).tobytes())
+        self.memo = Memo(lambda piece: np.array(self._ids(piece), self.kind).tobytes(), entries=400_000)
         line_feed = self._ids("\n")
         self.line_feed = line_feed[0] if self._ids("a\n a\na") == (
             self._ids("a") + line_feed + self._ids(" a") + line_feed + self._ids("a")
