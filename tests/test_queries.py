@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pytest
-from conftest import same_rows
+from compare import same_rows
 
 from graphwright.plans.catalog import ORACLE_SQL, QUERIES
 
