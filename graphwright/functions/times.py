@@ -61,3 +61,16 @@ def interpreted(local: Column, offset_minutes: Column) -> Column:
     """Instant (zone-less, UTC) of a local time under a UTC offset within 18 hours."""
     shifted = F.timestamp_add("MINUTE", -offset_minutes, local)
     return F.when(F.abs(offset_minutes) <= 18 * 60, shifted)
+
+
+def constraint(ts: Column, precision: Column) -> tuple[Column, Column]:
+    """First and last microsecond that a time of a precision can stand for."""
+    # fixed values: lengths in microseconds
+    width = (
+        F.when(precision == "minute", 60_000_000)
+        .when(precision == "second", 1_000_000)
+        .when(precision == "millisecond", 1000)
+        .otherwise(1)
+    )
+    low = F.floor(epoch_us(ts) / width) * width
+    return low.cast("long"), (low + width - 1).cast("long")

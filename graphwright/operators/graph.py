@@ -7,7 +7,7 @@ round. Frontiers are aggregated by node before they join edges.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.storage import dropped, written
@@ -80,7 +80,7 @@ def earliest_arrivals(contacts: DataFrame, origin, start, rounds: int = 64) -> D
     seed = spark.range(1).select(
         F.lit(origin).cast(kind["src"]).alias("node"), F.lit(start).cast(kind["arrive"]).alias("arrival")
     )
-    best = written(seed, "arrivals")
+    best, before = written(seed, "arrivals"), None
     for _ in range(rounds):
         steps = (
             contacts.join(best, contacts.src == best.node)
@@ -89,11 +89,13 @@ def earliest_arrivals(contacts: DataFrame, origin, start, rounds: int = 64) -> D
             .agg(F.min("arrive").alias("arrival"))
         )
         new = written(best.union(steps).groupBy("node").agg(F.min("arrival").alias("arrival")), "arrivals")
-        changed = not new.exceptAll(best).isEmpty()
         dropped(best)
         best = new
-        if not changed:
+        # nodes only come and arrivals only fall, so both sums stay only if all do
+        after = tuple(best.agg(F.count("*"), F.sum(F.col("arrival").cast("decimal(38,0)"))).first())
+        if after == before:
             break
+        before = after
     return best
 
 
@@ -118,3 +120,28 @@ def path_contacts(contacts: DataFrame, origin, target, start, end) -> DataFrame:
         .where("arrive <= departure")
         .drop("node", "departure")
     )
+
+
+def frontier(contacts: DataFrame, arrivals: DataFrame) -> DataFrame:
+    """(node, arrival): reached nodes from which no contact goes on."""
+    onward = contacts.select(F.col("src").alias("node"), "depart")
+    on = (arrivals.node == onward.node) & (F.col("depart") >= F.col("arrival"))
+    return arrivals.join(onward, on, "left_anti")
+
+
+def path_state(contacts: DataFrame, origin, target, start, end) -> str:
+    """Why there is no path: no_contact_at_origin, no_contact_at_target, not_in_time or path."""
+    if contacts.where(F.col("src") == origin).isEmpty():
+        return "no_contact_at_origin"
+    if contacts.where(F.col("dst") == target).isEmpty():
+        return "no_contact_at_target"
+    reached_at = earliest_arrivals(contacts, origin, start).where((F.col("node") == target) & (F.col("arrival") <= end))
+    return "not_in_time" if reached_at.isEmpty() else "path"
+
+
+def flow(sent: Column, received: Column, operation: Column) -> Column:
+    """Direction of influence of a record: by its operation, else by the bytes it moved."""
+    # fixed values: operations whose direction is declared
+    declared = F.when(operation == "write", "out").when(operation == "read", "in")
+    by_bytes = F.when((sent > 0) & (received > 0), "both").when(sent > 0, "out").when(received > 0, "in")
+    return F.coalesce(declared, by_bytes, F.lit("none"))

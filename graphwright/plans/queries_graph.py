@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.times import epoch_s
+from ..functions.times import constraint, epoch_s
 from ..operators import aggregates, graph, joins
 from .registry import query, table
 
@@ -171,3 +171,27 @@ select contact from c join a on a.node = c.src and c.depart >= a.arrival join d
 def influence_path(spark, sf_dir):
     """Transfers on some time-respecting path between two nodes."""
     return graph.path_contacts(contacts(spark, sf_dir), 1, 2, 0, 4102444800).select("contact")
+
+
+@query(_CONTACTS.replace("where src = 1 union", "where src = 1 and depart >= 1706400000 union").replace("select 1, 0)", "select 1, 1706400000)") + """
+select node, arrival from a where not exists (select 1 from c where c.src = a.node and c.depart >= a.arrival)""")
+def influence_frontier(spark, sf_dir):
+    """Reached nodes from which influence goes no further."""
+    own = contacts(spark, sf_dir)
+    return graph.frontier(own, graph.earliest_arrivals(own, 1, 1706400000))
+
+
+@query("""
+with e as (select event_id, event_type, epoch_us(ts) as u, case event_type when 'view' then 60000000 when 'click' then 1000000 when 'error' then 1000 else 1 end as w,
+   event_id % 3 as sent, event_id % 2 as received from events)
+select event_id, u // w * w as earliest, u // w * w + w - 1 as latest,
+  case when event_type = 'purchase' then 'out' when event_type = 'signup' then 'in' when sent > 0 and received > 0 then 'both' when sent > 0 then 'out' when received > 0 then 'in' else 'none' end as flow
+from e""")
+def record_constraints(spark, sf_dir):
+    """The span a record's time stands for, and its direction of influence."""
+    kind = F.col("event_type")
+    precision = F.when(kind == "view", "minute").when(kind == "click", "second").when(kind == "error", "millisecond").otherwise("microsecond")
+    low, high = constraint(F.col("ts"), precision)
+    operation = F.when(kind == "purchase", "write").when(kind == "signup", "read")
+    way = graph.flow(F.col("event_id") % 3, F.col("event_id") % 2, operation)
+    return table(spark, sf_dir, "events").select("event_id", low.alias("earliest"), high.alias("latest"), way.alias("flow"))
