@@ -244,3 +244,14 @@ def staged_matches(
         .otherwise("several_processes")
     )
     return joined.select(origin_id, *counts, outcome.alias("outcome"))
+
+
+def live_parents(children: DataFrame, spans: DataFrame, keys: list[str], child: str, at: str, start: str, end: str, parent: str, bucket: int = 86_400) -> DataFrame:
+    """(child, parent): the one instance of the parent's keys that was live at the child's start.
+
+    Two instances that share the moment, as where one ends and the next begins,
+    are ambiguous and give no parent.
+    """
+    held = interval_candidates(children, spans, keys, at, start, end, bucket)
+    one = held.groupBy(child).agg(F.count_distinct(parent).alias("__n"), F.min(parent).alias(parent))
+    return one.where("__n = 1").select(child, parent)

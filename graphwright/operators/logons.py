@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.network import reaches_another
 from ..functions.values import logon_guid, logon_id
-from .joins import band_join, resolved
+from .joins import band_join, interval_candidates, resolved
 
 
 def session_operations(logons: DataFrame, operations: DataFrame) -> DataFrame:
@@ -137,3 +137,24 @@ def remote_sessions(records: DataFrame, assignments: DataFrame, bucket: int = 86
         (F.col("outcome") == "none") & reaches_another(F.col("src_ip")), "unidentified_source"
     )
     return joined.withColumn("relation", relation).where("relation is not null").select("record", "source", F.col("terminal").alias("target"), "relation")
+
+
+def requested_sessions(pairs: DataFrame, requests: DataFrame, sessions: DataFrame, bucket: int = 86_400) -> DataFrame:
+    """(logon, session): the sessions in which the requests behind logons were made.
+
+    pairs (request, logon), requests (request, terminal, logon_id, at),
+    sessions (session, terminal, logon_id, started, ended): at, started and
+    ended in whole units.
+    """
+    held = interval_candidates(requests, sessions, ["terminal", "logon_id"], "at", "started", "ended", bucket)
+    return pairs.join(held.select("request", "session"), "request").select("logon", "session").distinct()
+
+
+def outbound_connections(records: DataFrame) -> DataFrame:
+    """(terminal, address, records): observed destinations that reach another terminal, not its own.
+
+    records (record, terminal, dst_ip, owned); owned rows name the terminal's own addresses.
+    """
+    owned = records.where("owned").select("terminal", F.col("dst_ip").alias("address")).distinct()
+    out = records.where(~F.col("owned") & reaches_another(F.col("dst_ip"))).groupBy("terminal", F.col("dst_ip").alias("address"))
+    return out.agg(F.count_distinct("record").alias("records")).join(owned, ["terminal", "address"], "left_anti")

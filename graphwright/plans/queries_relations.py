@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.times import epoch_s, epoch_us
-from ..operators import logons, records
+from ..operators import joins, logons, records
 from ..sources import structured
 from .registry import query, table
 
@@ -285,3 +285,42 @@ def connection_objects(spark, sf_dir):
     xml = F.format_string("<Obj><Name>%s</Name><URI>h%d</URI><Port>3389</Port><CredentialPassword>secret%d</CredentialPassword></Obj>", "c_name", "c_nationkey", "c_custkey")
     rows = structured.connection_objects(table(spark, sf_dir, "customer").select("c_custkey", xml.alias("xml")))
     return rows.select("c_custkey", "name", "host", "port", F.col("xml").contains("secret").alias("leaks"))
+
+
+@query(f"""
+with i as (select user_id % 40 as pid, event_id as instance, epoch_us(ts) // 1000000 as s, epoch_us(ts) // 1000000 + 14400 as e from events where event_type = 'signup'),
+c as (select event_id as child, {_K} % 40 as pid, epoch_us(ts) // 1000000 as t from events where event_type = 'view')
+select child, min(instance) as parent from c join i using (pid) where t between s and e group by 1 having count(distinct instance) = 1""")
+def process_lineage(spark, sf_dir):
+    """The live parent of a process at its start, if there is exactly one."""
+    at = epoch_s(F.col("ts"))
+    spans = _kind(spark, sf_dir, "signup").select((F.col("user_id") % 40).alias("pid"), F.col("event_id").alias("parent"), at.alias("s"), (at + 14400).alias("e"))
+    rows = _kind(spark, sf_dir, "view").select(F.col("event_id").alias("child"), (F.col("k") % 40).alias("pid"), at.alias("at"))
+    return joins.live_parents(rows, spans, ["pid"], "child", "at", "s", "e", "parent")
+
+
+@query(f"""
+with p as (select event_id as request, event_id + 1 as logon, user_id % 4 as terminal, {_K} % 5 as logon_id, epoch_us(ts) // 1000000 as t from events where event_type = 'click'),
+s as (select event_id as session, user_id % 4 as terminal, {_K} % 5 as logon_id, epoch_us(ts) // 1000000 as s, epoch_us(ts) // 1000000 + 3600 as e from events where event_type = 'purchase')
+select distinct logon, session from p join s using (terminal, logon_id) where t between s.s and s.e""")
+def requested_sessions(spark, sf_dir):
+    """Sessions in which the requests behind logons were made."""
+    at = epoch_s(F.col("ts"))
+    own = [(F.col("user_id") % 4).alias("terminal"), (F.col("k") % 5).alias("logon_id")]
+    clicks = _kind(spark, sf_dir, "click")
+    pairs = clicks.select(F.col("event_id").alias("request"), (F.col("event_id") + 1).alias("logon"))
+    requests = clicks.select(F.col("event_id").alias("request"), *own, at.alias("at"))
+    sessions = _kind(spark, sf_dir, "purchase").select(F.col("event_id").alias("session"), *own, at.alias("started"), (at + 3600).alias("ended"))
+    return logons.requested_sessions(pairs, requests, sessions)
+
+
+@query(f"""
+with r as (select event_id as record, user_id % 6 as terminal, case when {_K} % 8 = 7 then '224.0.0.1' else '10.9.8.' || {_K} % 8 end as ip, event_type = 'signup' and user_id % 6 = {_K} % 8 as owned from events)
+select terminal, ip as address, count(distinct record) as records from r where not owned and ip <> '224.0.0.1'
+ and not exists (select 1 from r o where o.owned and o.terminal = r.terminal and o.ip = r.ip) group by 1, 2""")
+def outbound_connections(spark, sf_dir):
+    """Destinations of a terminal that reach another one."""
+    n, terminal = F.col("k") % 8, F.col("user_id") % 6
+    ip = F.when(n == 7, F.lit("224.0.0.1")).otherwise(F.concat(F.lit("10.9.8."), n.cast("string")))
+    rows = _events(spark, sf_dir).select(F.col("event_id").alias("record"), terminal.alias("terminal"), ip.alias("dst_ip"), ((F.col("event_type") == "signup") & (terminal == n)).alias("owned"))
+    return logons.outbound_connections(rows)
