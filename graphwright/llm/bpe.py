@@ -24,7 +24,7 @@ from .pieces import Memo, pieces
 class BytePairEncoder:
     """Encodes text with the ranks of a tiktoken file and a split pattern."""
 
-    def __init__(self, path: str, pattern: str, pairs: int = 1_000_000):
+    def __init__(self, path: str, pattern: str, pairs: int = 300_000):
         import ahocorasick
         import regex
 
@@ -40,7 +40,7 @@ class BytePairEncoder:
         self.halves = {i: self._halves(t, i) for t, i in ranks.items()}
         self.joined = {h: i for i, h in self.halves.items() if h[0] != h[1] or len(self.tokens[i]) > 1}
         self.shorter: dict[int, int | None] = {}
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}
         self.pairs = pairs
         self.memo = Memo(self._piece)
 
@@ -84,7 +84,7 @@ class BytePairEncoder:
                 return True
 
     def _fits(self, left: int, right: int) -> bool:
-        key = (left, right)
+        key = left << 32 | right
         known = self.fits.get(key)
         if known is None:
             if len(self.fits) >= self.pairs:

@@ -73,7 +73,10 @@ def repeated_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> D
         .groupBy("hi", "lo")
         .agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper"))
         .where(F.col("n") >= min_docs)
+        .select("hi", "lo", "keeper")
     )
+    # a table of its own, so that the join deals both sides out anew and can split a hot line
+    common = written(common, "common-lines")
     return (
         lines.join(common, ["hi", "lo"])
         .where("doc_id != keeper")

@@ -43,7 +43,7 @@ class Memo(dict):
     A full generation becomes the old one; what is asked for again moves back.
     """
 
-    def __init__(self, encode: Callable[[str], bytes], entries: int = 400_000, longest: int = 64):
+    def __init__(self, encode: Callable[[str], bytes], entries: int = 250_000, longest: int = 64):
         super().__init__()
         self.encode, self.entries, self.longest = encode, entries, longest
         self.old: dict[str, bytes] = {}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.times import epoch_s
-from ..operators import graph, logons, searching
+from ..operators import graph, logons, patterns, searching
 from ..sources import lines
 from .queries_graph import _EVIDENCE, evidence
 from .queries_records import _access_lines, event_fields
@@ -130,3 +130,49 @@ def remote_sessions(spark, sf_dir):
     )
     made = events.where("event_type = 'signup' and user_id % 20 > 5").select(ip.alias("src_ip"), at.alias("start_s"), (at + 21600).alias("end_s"), (F.col("event_id") % 4).alias("source"))
     return logons.remote_sessions(rows, made)
+
+
+PATTERN = {
+    "nodes": {
+        "buyer": {"kind": "c"},
+        "part": {"kind": "p", "where": {"brand": {"basename_in": ["BRAND#11", "brand#12"]}}},
+        "maker": {"kind": "s", "where": {"key": {"mask_any": ["0x8"]}}},
+        "other": {"kind": "s", "where": {"key": {"present": True}}},
+    },
+    "edges": {
+        "bought": {"kind": "placed", "from": "buyer", "to": "part"},
+        "made": {"kind": "supplied", "from": "maker", "to": "part"},
+        "also": {"kind": "supplied", "from": "other", "to": "part"},
+    },
+    "distinct": [["maker", "other"]],
+    "joins": [{"equal": ["buyer.nation", "maker.nation"]}],
+    "order": [{"before": ["made", "also"], "within": 864_000}],
+}
+
+
+@query(_EVIDENCE + """
+, p as (select 'p' || p_partkey as p from part where lower(p_brand) in ('brand#11', 'brand#12')),
+e1 as (select distinct src as buyer, dst as p from e where kind = 'placed'), sv as (select src, dst, epoch_us(time) // 1000000 as t from e where kind = 'supplied')
+select distinct buyer, m.src as maker, o.src as other, p.p as part
+from p join e1 on e1.p = p.p join sv m on m.dst = p.p join sv o on o.dst = p.p and o.src <> m.src and o.t - m.t > 0 and o.t - m.t <= 864000
+join customer c on 'c' || c.c_custkey = buyer join supplier s on 's' || s.s_suppkey = m.src and s.s_suppkey & 8 <> 0 and s.s_nationkey = c.c_nationkey""")
+def subgraph_patterns(spark, sf_dir):
+    """Bindings of a pattern of nodes, edges, joins and order."""
+    rows = evidence(spark, sf_dir).withColumn("edge", F.concat_ws("|", "kind", "src", "dst"))
+
+    def nodes(name: str, kind: str, key: str, **attributes: str):
+        pairs = [x for n, c in attributes.items() for x in (F.lit(n), F.array(F.col(c).cast("string")))]
+        return table(spark, sf_dir, name).select(
+            F.concat(F.lit(kind), F.col(key).cast("string")).alias("node"), F.lit(kind).alias("kind"), F.create_map(*pairs).alias("attributes")
+        )
+
+    all_nodes = (
+        nodes("customer", "c", "c_custkey", nation="c_nationkey")
+        .union(nodes("part", "p", "p_partkey", brand="p_brand"))
+        .union(nodes("supplier", "s", "s_suppkey", key="s_suppkey", nation="s_nationkey"))
+    )
+    edges = rows.select("edge", "kind", "src", "dst").distinct()
+    times = rows.select("edge", epoch_s(F.col("time")).alias("time")).distinct()
+    found, why = patterns.matches(PATTERN, all_nodes, edges, times)
+    assert why is None
+    return found.select("buyer", "maker", "other", "part")
