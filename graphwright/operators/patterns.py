@@ -74,6 +74,15 @@ def predicate(spec: dict, values: Column) -> Column:
     return F.coalesce(F.exists(values, lambda v: F.coalesce(_TESTS[name](v, want), F.lit(False))), F.lit(False))
 
 
+def _meet(name: str, left: Column, right: Column) -> Column:
+    """Whether some value of left meets some value of right (arrays) by the named test."""
+
+    def some(v: Column) -> Column:
+        return F.exists(right, lambda w: F.coalesce(_JOINS[name](v, w), F.lit(False)))
+
+    return F.coalesce(F.exists(left, some), F.lit(False))
+
+
 def validate(pattern: dict) -> list[str]:
     """Names of the edge roles in an order in which each shares a node with those before it."""
     nodes, edges = pattern["nodes"], pattern["edges"]
@@ -143,9 +152,7 @@ def matches(
     for j in pattern.get("joins", []):
         for name, (a, b) in j.items():
             (ra, fa), (rb, fb) = a.split(".", 1), b.split(".", 1)
-            right = F.col(f"__{rb}")[fb]
-            hit = F.exists(F.col(f"__{ra}")[fa], lambda v, n=name, r=right: F.exists(r, lambda w: F.coalesce(_JOINS[n](v, w), F.lit(False))))
-            out = out.where(F.coalesce(hit, F.lit(False)))
+            out = out.where(_meet(name, F.col(f"__{ra}")[fa], F.col(f"__{rb}")[fb]))
     roles = [*order, *pattern["nodes"]]
     out = out.select(*roles)
     for o in pattern.get("order", []):

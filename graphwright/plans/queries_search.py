@@ -160,10 +160,10 @@ def subgraph_patterns(spark, sf_dir):
     """Bindings of a pattern of nodes, edges, joins and order."""
     rows = evidence(spark, sf_dir).withColumn("edge", F.concat_ws("|", "kind", "src", "dst"))
 
-    def nodes(name: str, kind: str, key: str, **attributes: str):
+    def nodes(name: str, kind: str, column: str, **attributes: str):
         pairs = [x for n, c in attributes.items() for x in (F.lit(n), F.array(F.col(c).cast("string")))]
         return table(spark, sf_dir, name).select(
-            F.concat(F.lit(kind), F.col(key).cast("string")).alias("node"), F.lit(kind).alias("kind"), F.create_map(*pairs).alias("attributes")
+            F.concat(F.lit(kind), F.col(column).cast("string")).alias("node"), F.lit(kind).alias("kind"), F.create_map(*pairs).alias("attributes")
         )
 
     all_nodes = (

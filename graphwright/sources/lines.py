@@ -17,6 +17,8 @@ _ACCESS = (
     r'(?: "((?:[^"\\]|\\.)*)" "((?:[^"\\]|\\.)*)")?(?: ([A-Z_]+):([A-Z_]+))?\s*$'
 )
 _ERROR = r"^\[([^\]]+)\] \[([^:\]]*):([^\]]+)\] \[pid (\d+)(?::tid (\d+))?\](?: \[client ([^\]]+):(\d+)\])? (.*)$"
+#: Expressions that tell the formats of lines apart.
+TRIALS = {"access": _ACCESS, "error": _ERROR, "audit": r"\bmsg=audit\(\d+\.\d+:\d+\)"}
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:

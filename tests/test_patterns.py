@@ -54,3 +54,16 @@ def test_predicates(spark, spec, hit):
 def test_unknown_predicate():
     with pytest.raises(RuleError):
         patterns.predicate({"like": 1}, F.lit(None))
+
+
+@pytest.mark.parametrize(
+    ("name", "left", "right", "hit"),
+    [("equal", "a b", "a b", True), ("ieq", "A b", "a B", True), ("has_token", "run a.exe /q", "A.EXE", True), ("contains", "abc", "bc", True), ("contains", "bc", "abc", False)],
+)
+def test_joins(spark, name, left, right, hit):
+    rows = "struct<node: string, kind: string, attributes: map<string, array<string>>>"
+    nodes = spark.createDataFrame([("1", "n", {"v": [None, left]}), ("2", "n", {"v": [right]})], rows)
+    edges = spark.createDataFrame([("e", "k", "1", "2")], "edge string, kind string, src string, dst string")
+    p = {"nodes": {"a": {"kind": "n"}, "b": {"kind": "n"}}, "edges": {"x": {"kind": "k", "from": "a", "to": "b"}}, "joins": [{name: ["a.v", "b.v"]}]}
+    found, why = patterns.matches(p, nodes, edges, None)
+    assert why is None and found.count() == hit
