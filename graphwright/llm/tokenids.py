@@ -208,7 +208,9 @@ class _Encoder:
                 for k in [k for k, v in enumerate(ids) if v is None]:
                     piece = own[k]
                     ids[k] = old(piece)
-                    if ids[k] is None:
+                    if ids[k] is not None:
+                        self.memo[piece] = ids[k]  # a common piece stays when the generation ends
+                    else:
                         open_at.append((ids, k, piece))
                         if simple and piece and piece != "\n" and len(piece) <= longest:
                             new[piece] = None
