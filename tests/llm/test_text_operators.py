@@ -318,6 +318,16 @@ def test_fuzzy_passage(spark):
     assert {r.doc_id, r.other_id} == {0, 1} and r.n_words >= 80 and r.similarity >= 0.85
 
 
+def test_passage_behind_a_longer_one(spark):
+    rng = random.Random(5)
+    some = lambda n: ["".join(rng.choices("abcdefghij", k=6)) for _ in range(n)]
+    long, short = some(300), some(60)
+    texts = [long + some(60) + short, long + some(60) + short[:30] + some(1) + short[30:]]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    rows = passages.repeated_passages(docs).collect()
+    assert sorted((r.start, r.stop, r.other_start, r.other_stop) for r in rows) == [(0, 300, 0, 300), (360, 421, 360, 420)]
+
+
 def test_passages_odd(odd, empty):
     rows = passages.repeated_passages(odd.unionByName(odd.selectExpr("*").where("doc_id = 5").withColumn("doc_id", odd.doc_id + 100))).collect()
     assert {(r.doc_id, r.other_id) for r in rows} == {(105, 5)}
