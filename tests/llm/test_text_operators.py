@@ -328,6 +328,39 @@ def test_passage_behind_a_longer_one(spark):
     assert sorted((r.start, r.stop, r.other_start, r.other_stop) for r in rows) == [(0, 300, 0, 300), (360, 421, 360, 420)]
 
 
+@pytest.mark.parametrize("halves", [1, 40])
+def test_passage_whose_halves_come_before(spark, halves):
+    rng = random.Random(6)
+    some = lambda n: ["".join(rng.choices("abcdefghij", k=6)) for _ in range(n)]
+    shared = some(60)
+    texts = [x for _ in range(halves) for x in (some(40) + shared[:30] + some(40), some(40) + shared[30:] + some(40))]
+    texts += [some(40) + shared + some(20), some(10) + shared + some(40)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    (r,) = passages.repeated_passages(docs).collect()
+    assert {(r.doc_id, r.start, r.stop), (r.other_id, r.other_start, r.other_stop)} == {(2 * halves, 40, 100), (2 * halves + 1, 10, 70)}
+
+
+def test_matches_over_batches(spark):
+    rng = random.Random(7)
+    rows = [(rng.randrange(60) ** 2 // 60, rng.randrange(200), i) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "key long, a long, pa int")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        got = passages._matches(docs.coalesce(1), most=20).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    groups = defaultdict(list)
+    for key_, a, at in sorted(rows):
+        groups[key_].append((a, at))
+    want = Counter()
+    for key_, own in groups.items():
+        many = len(own) > 20
+        want.update((key_, a, None, at, None) for a, at in own if many)
+        pairs = [(own[0], y) for y in own[1:]] if many else [(x, y) for i, y in enumerate(own) for x in own[:i]]
+        want.update((key_, y[0], x[0], y[1], x[1]) for x, y in pairs if x[0] != y[0])
+    assert Counter(map(tuple, got)) == want
+
+
 def test_passages_odd(odd, empty):
     rows = passages.repeated_passages(odd.unionByName(odd.selectExpr("*").where("doc_id = 5").withColumn("doc_id", odd.doc_id + 100))).collect()
     assert {(r.doc_id, r.other_id) for r in rows} == {(105, 5)}
