@@ -340,6 +340,30 @@ def test_passage_whose_halves_come_before(spark, halves):
     assert {(r.doc_id, r.start, r.stop), (r.other_id, r.other_start, r.other_stop)} == {(2 * halves, 40, 100), (2 * halves + 1, 10, 70)}
 
 
+@pytest.mark.parametrize("every", [6, 8, 10])
+def test_passages_with_frequent_edits(spark, every):
+    rng = random.Random(every)
+    some = lambda n: ["".join(rng.choices("abcdefghij", k=6)) for _ in range(n)]
+    texts = []
+    for _ in range(30):
+        shared = some(70)
+        changed = [w if i % every else some(1)[0] for i, w in enumerate(shared, 1)]
+        texts += [some(30) + shared + some(30), some(50) + changed + some(20)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = {r.doc_id for r in passages.repeated_passages(docs).collect()}
+    assert found == set(range(1, 60, 2))
+
+
+def test_passage_quoted_in_part_before(spark):
+    rng = random.Random(8)
+    some = lambda n: ["".join(rng.choices("abcdefghij", k=6)) for _ in range(n)]
+    shared = some(60)
+    texts = [some(20) + shared[15:45] + some(100) + shared + some(20), some(30) + shared + some(10)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    (r,) = passages.repeated_passages(docs).collect()
+    assert (r.start, r.stop, r.other_start, r.other_stop) == (30, 90, 150, 210)
+
+
 def test_matches_over_batches(spark):
     rng = random.Random(7)
     rows = [(rng.randrange(60) ** 2 // 60, rng.randrange(200), i) for i in range(3000)]
