@@ -29,7 +29,7 @@ LANDMARKS = 24
 #: What a text without letters is.
 UNKNOWN = "und"
 
-_LETTER = np.array([chr(c).isalpha() for c in range(0x10000)])
+_LETTER = np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
 _MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
 
 
@@ -41,7 +41,7 @@ def presences(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     codes = np.frombuffer((" " + "  ".join(t.lower() for t in texts) + " ").encode("utf-32-le", "surrogatepass"), "<u4")
     # lower-casing can change lengths, so the bounds come from the parts that were joined
     sizes = np.array([len(t.lower()) + 2 for t in texts], np.int64)
-    letter = (codes >= 0x10000) | _LETTER[np.minimum(codes, 0xFFFF)]
+    letter = _LETTER[codes]
     codes = np.where(letter, codes, 32).astype(np.uint32)
     row = np.repeat(np.arange(len(texts), dtype=np.int64) * BUCKETS, sizes)
     present = np.zeros(len(texts) * BUCKETS, np.float32)

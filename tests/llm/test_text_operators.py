@@ -290,6 +290,12 @@ def test_language_odd(odd, empty):
     assert {r.lang_pred for r in langid.identify(unlabelled).collect()} == {"und"}
 
 
+def test_letters_beyond_the_first_plane():
+    texts = ["😀 🎉 12, 🚀!", "𝟘𝟙 🀄", "𐐷𐑊", "𠀀", "a 😀", ""]
+    _, has = langid.presences(texts)
+    assert has.tolist() == [any(c.isalpha() for c in t) for t in texts] == [False, False, True, True, True, False]
+
+
 def test_passages(documents):
     words = {r.doc_id: (r.text or "").encode().lower().split() for r in documents.collect()}
     holders = defaultdict(set)
