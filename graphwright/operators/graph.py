@@ -69,11 +69,11 @@ def closure(pairs: DataFrame) -> DataFrame:
             return root
 
 
-def earliest_arrivals(contacts: DataFrame, origin, start, rounds: int = 64) -> DataFrame:
+def earliest_arrivals(contacts: DataFrame, origin, start) -> DataFrame:
     """(node, arrival): the earliest time each node is reached from origin at start.
 
     contacts (src, dst, depart, arrive). A step is taken only at or after the
-    arrival at its source.
+    arrival at its source. Rounds go on until no arrival changes.
     """
     spark = contacts.sparkSession
     kind = dict(contacts.dtypes)
@@ -81,7 +81,7 @@ def earliest_arrivals(contacts: DataFrame, origin, start, rounds: int = 64) -> D
         F.lit(origin).cast(kind["src"]).alias("node"), F.lit(start).cast(kind["arrive"]).alias("arrival")
     )
     best, before = written(seed, "arrivals"), None
-    for _ in range(rounds):
+    while True:
         steps = (
             contacts.join(best, contacts.src == best.node)
             .where("depart >= arrival")
@@ -99,12 +99,12 @@ def earliest_arrivals(contacts: DataFrame, origin, start, rounds: int = 64) -> D
     return best
 
 
-def latest_departures(contacts: DataFrame, target, end, rounds: int = 64) -> DataFrame:
+def latest_departures(contacts: DataFrame, target, end) -> DataFrame:
     """(node, departure): the latest time to be at each node and still reach target by end."""
     turned = contacts.select(
         F.col("dst").alias("src"), F.col("src").alias("dst"), (-F.col("arrive")).alias("depart"), (-F.col("depart")).alias("arrive")
     )
-    out = earliest_arrivals(turned, target, -end, rounds)
+    out = earliest_arrivals(turned, target, -end)
     return out.select("node", (-F.col("arrival")).alias("departure"))
 
 

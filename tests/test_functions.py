@@ -138,3 +138,10 @@ def test_reachability_against_enumeration(spark):
     contacts = spark.createDataFrame(steps, "contact int, src int, dst int, depart int, arrive int")
     got = {r.contact for r in graph.path_contacts(contacts, 0, 1, 0, 100).collect()}
     assert got == found
+
+
+def test_arrivals_over_many_contacts(spark):
+    rows = [(i, i + 1, i, i + 1) for i in range(70)]
+    contacts = spark.createDataFrame(rows, "src int, dst int, depart int, arrive int").coalesce(1)
+    got = {r.node: r.arrival for r in graph.earliest_arrivals(contacts, 0, 0).collect()}
+    assert got == {i: i for i in range(71)}
