@@ -23,6 +23,10 @@ def brute(rows, least=0.9):
             if len(a) == len(b) and a @ b / np.linalg.norm(a) / np.linalg.norm(b) >= least:
                 links[[i, j]] += 1
                 root = merged(root, np.array([i]), np.array([j]))
+    for i, (k, _) in enumerate(rows):
+        for j in ok:
+            if rows[j][0] == k and i in ok:  # rows with one id are one vertex
+                root = merged(root, np.array([i]), np.array([j]))
     least_id = {}
     for i, (k, _) in enumerate(rows):
         if k is not None:
@@ -60,17 +64,42 @@ def test_hadamard_keeps_lengths():
     assert np.allclose(np.linalg.norm(embedding.hadamard(x), axis=1), 4 * np.linalg.norm(x, axis=1))
 
 
-def test_recall():
-    """Pairs at the least cosine meet in some table in at least 99 of 100 cases."""
+@pytest.mark.parametrize("hashes", [2, 3, 4])
+def test_recall(hashes):
+    """Pairs at the least cosine meet in some table in at least 98 of 100 cases, sketches too."""
     rng = np.random.default_rng(1)
     x = rng.normal(size=(1000, 64))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     g = rng.normal(size=x.shape)
     g -= (g * x).sum(1, keepdims=True) * x
     y = 0.9 * x + math.sqrt(0.19) * g / np.linalg.norm(g, axis=1, keepdims=True)
-    a, b = (embedding.buckets(v, embedding.TABLES, embedding.HASHES) for v in (x, y))
+    (a, sa), (b, sb) = (embedding.coded(v, embedding.tables_for(hashes), hashes) for v in (x, y))
     met = ((a[:, :, :1] == b) | False).any(2) | (b[:, :, :1] == a).any(2)
-    assert met.any(1).mean() >= 0.99
+    near = np.bitwise_count(sa ^ sb).sum(1) <= embedding.sketch_budget(64, 0.9)
+    assert (met.any(1) & near).mean() >= 0.98
+
+
+def test_hashes_grow_with_the_table():
+    assert [embedding.hashes_for(n, 64) for n in (0, 100_000, 1_000_000, 1_000_000_000)] == [2, 2, 3, 4]
+
+
+@pytest.mark.parametrize("piece", [8, 1500])
+def test_embedding_ties(spark, piece):
+    """Binary, one-hot, small-integer and scaled vectors, and rows that share an id."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for v in rng.choice([-1.0, 1.0], (40, 24)):
+        flipped = v.copy()
+        flipped[rng.integers(24)] *= -1
+        rows += [v, 3 * v, 0.1 * v, flipped]
+    rows += [s * np.eye(24)[i] for i in range(24) for s in (1.0, 5.0, 1e200, 1e-200)]
+    rows += [u + (k == 2) * rng.integers(-9, 10, 24) for u in rng.integers(-127, 128, (20, 24)) for k in range(3)]
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(rows)]
+    rows += [(5, rows[1][1]), (0, rows[200][1])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = Counter(map(tuple, embedding.near_duplicates(df, piece=piece).collect()))
+    unit = [(k, list(np.array(v) / np.abs(v).max())) for k, v in rows]
+    assert got == brute(unit)
 
 
 def stats(text):
