@@ -11,6 +11,12 @@ A group that is too large is dealt out again by blocks of its other bits, in
 which the same argument holds; what is still too large then is compared in
 pieces. Links are reduced to a spanning forest in each task; no group emits all
 its pairs.
+
+Near-duplicates of a lower similarity differ in more bits than a trie can bear
+as a budget. ``deduplicated`` therefore takes several short fingerprints of each
+text, joins the tries of each, and keeps the pairs that are near in all bits
+together; the closest of them, a least spanning forest, are compared by their
+shingles.
 """
 
 from __future__ import annotations
@@ -87,20 +93,28 @@ def _signed(x: int) -> int:
 
 
 def trie_links(group: np.ndarray, fp: np.ndarray, budget: int) -> np.ndarray:
-    """Root index of each row after linking rows of one group within the budget.
+    """Root index of each row after linking rows of one group within the budget."""
+    order = np.lexsort((fp, group))
+    root = np.arange(len(fp))
+    for i, j in trie_pairs(group[order], fp[order], budget):
+        root = merged(root, i, j)
+    back = np.empty(len(fp), np.int64)
+    back[order] = order[root]
+    return back
+
+
+def trie_pairs(g: np.ndarray, x: np.ndarray, budget: int, top: int = 63) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (i, j) of rows of one group within the budget; rows are sorted by (g, x).
 
     Walks the tries of all groups at once, one bit a level. A pair of nodes is
     two ranges of the sorted fingerprints; it goes on to the pairs of their
     children with the differing bits so far, unless these exceed the budget.
     """
-    order = np.lexsort((fp, group))
-    x, g = fp[order], group[order]
     starts = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
     ends = np.r_[starts[1:], len(x)]
     many = ends - starts > 1
     first = (starts[many], ends[many], starts[many], ends[many], np.zeros(many.sum(), np.int8))
-    root = np.arange(len(x))
-    waiting = [(63, first)]
+    waiting = [(top, first)]
     while waiting:
         bit, (a0, a1, b0, b1, err) = waiting.pop()
         if len(a0) > 1 << 17:
@@ -111,7 +125,7 @@ def trie_links(group: np.ndarray, fp: np.ndarray, budget: int) -> np.ndarray:
         if small.any():
             i, j = _crossed(*(y[small] for y in (a0, a1, b0, b1)))
             near = np.bitwise_count(x[i] ^ x[j]) <= budget
-            root = merged(root, i[near], j[near])
+            yield i[near], j[near]
         if small.all():
             continue
         a0, a1, b0, b1, err = (y[~small] for y in (a0, a1, b0, b1, err))
@@ -132,9 +146,6 @@ def trie_links(group: np.ndarray, fp: np.ndarray, budget: int) -> np.ndarray:
             & ~((following[0] == following[2]) & (following[1] - following[0] < 2))
         )
         waiting.append((bit - 1, tuple(y[keep] for y in following)))
-    back = np.empty(len(x), np.int64)
-    back[order] = order[root]
-    return back
 
 
 def _crossed(a0, a1, b0, b1):
@@ -172,55 +183,61 @@ def _linked(rows: DataFrame, keys: list[str], budget: int) -> DataFrame:
     )
 
 
-def links(classes: DataFrame, bits: int = 4, group: int = GROUP, levels: int = LEVELS) -> DataFrame:
+def links(
+    classes: DataFrame, bits: int = 4, group: int = GROUP, levels: int = LEVELS, width: int = 64, by: tuple = (), linked=None
+) -> DataFrame:
     """Links (a, b) that connect all distinct fingerprints within ``bits`` bits.
 
-    classes: one row for each distinct fingerprint, in column fp.
+    classes: one row for each distinct fingerprint, in column fp of ``width``
+    bits. Only rows equal in the columns ``by`` are compared; linked gives the
+    links of dealt rows.
     """
-    paths = {0: (0, list(range(63, -1, -1)))}
-    rows, found = classes.select("fp", F.lit(0).alias("path")), []
+    linked = linked or _linked
+    own = [c for c in classes.columns if c not in by]
+    paths = {0: (0, list(range(width - 1, -1, -1)))}
+    rows, found = classes.withColumn("path", F.lit(0)), []
     for _ in range(levels):
         following, choices = {}, []
         for path, (mask, free) in paths.items():
             blocks = []
-            for k, (own, rest) in enumerate(block_masks(free, bits + 1)):
+            for k, (block, rest) in enumerate(block_masks(free, bits + 1)):
                 to = path * (bits + 1) + k + 1
-                following[to] = (mask | own, rest)
-                shared = F.col("fp").bitwiseAND(F.lit(_signed(mask | own)).cast("long"))
+                following[to] = (mask | block, rest)
+                shared = F.col("fp").bitwiseAND(F.lit(_signed(mask | block)).cast("long"))
                 blocks.append(F.struct(F.lit(to).alias("path"), shared.alias("bits")))
             choices.append(F.when(F.col("path") == path, F.array(*blocks)))
         pick = F.coalesce(*choices)
-        keyed = rows.select("fp", F.explode(pick).alias("k")).select("k.path", "k.bits", "fp")
-        sizes = keyed.groupBy("path", "bits").count()
+        keyed = rows.select(*by, *own, F.explode(pick).alias("k")).select(*by, "k.path", "k.bits", *own)
+        keys = [*by, "path", "bits"]
+        sizes = keyed.groupBy(*keys).count()
         hot = written(sizes.where(F.col("count") > group), "hot")
-        keys = ["path", "bits"]
         if hot.isEmpty():
-            found.append(_linked(keyed, keys, bits))
+            found.append(linked(keyed, keys, bits))
             break
-        found.append(_linked(keyed.join(hot, keys, "left_anti"), keys, bits))
+        found.append(linked(keyed.join(hot, keys, "left_anti"), keys, bits))
         rows = written(keyed.join(hot.drop("count"), keys, "left_semi").distinct(), "hot-rows")
         paths = following
     else:
-        found.append(_in_pieces(rows, hot, bits, group))
+        found.append(_in_pieces(rows, hot, bits, group, by, linked))
     out = found[0]
     for f in found[1:]:
         out = out.union(f)
     return out
 
 
-def _in_pieces(rows: DataFrame, hot: DataFrame, budget: int, piece: int) -> DataFrame:
+def _in_pieces(rows: DataFrame, hot: DataFrame, budget: int, piece: int, by: tuple, linked) -> DataFrame:
     """Links within groups too large for a task: every two pieces meet in one."""
+    keys = [*by, "path", "bits"]
+    own = [c for c in rows.columns if c not in keys]
     n = (F.col("count") / (piece // 2) + 1).cast("int")
-    mine = F.pmod(F.xxhash64("fp"), F.col("n")).cast("int")
+    mine = F.pmod(F.xxhash64(*own), F.col("n")).cast("int")
     dealt = (
-        rows.join(hot.withColumn("n", n).drop("count"), ["path", "bits"])
+        rows.join(hot.withColumn("n", n).drop("count"), keys)
         .withColumn("p", mine)
         .withColumn("q", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-        .select(
-            "path", "bits", F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q"), "fp"
-        )
+        .select(*keys, F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q"), *own)
     )
-    return _linked(dealt, ["path", "bits", "p", "q"], budget)
+    return linked(dealt, [*keys, "p", "q"], budget)
 
 
 def simhash_components(docs: DataFrame, n: int = 4, bits: int = 4) -> DataFrame:
@@ -245,3 +262,179 @@ def simhash_components(docs: DataFrame, n: int = 4, bits: int = 4) -> DataFrame:
         F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
         "component_id",
     )
+
+
+#: Short fingerprints of a text, their bits and the bits in which a pair may differ in one.
+SHORT, SHORT_BITS, SHORT_BUDGET = 6, 32, 3
+#: Standard deviations by which the bits of a similar pair may be off.
+OFF = 1.6
+#: Random odd numbers that make the words of a wide fingerprint from one hash.
+_SPREAD = np.random.default_rng(20240607).integers(0, 1 << 63, SHORT * SHORT_BITS // 64, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingle_set(text: str | None, n: int = 5) -> np.ndarray:
+    """Sorted distinct hashes of a text's word n-grams, A-Z in lower case; of all words if fewer."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    shingles = zip(*(words[i:] for i in range(n)), strict=False) if len(words) >= n else [words]
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(b" ".join(s)) for s in shingles), np.uint64))
+
+
+def wide_fingerprint(shingles: np.ndarray) -> np.ndarray:
+    """SimHash of SHORT * SHORT_BITS bits of a set of shingles, in 64-bit words."""
+    h = shingles[:, None] * _SPREAD
+    h = (h ^ (h >> np.uint64(32))) * _SPREAD[::-1]
+    h ^= h >> np.uint64(29)
+    ones = np.zeros(64 * len(_SPREAD), np.int64)
+    for start in range(0, len(h), 4096):
+        ones += np.unpackbits(h[start : start + 4096].view(np.uint8), axis=1).sum(0, dtype=np.int64)
+    return np.packbits(2 * ones > len(h)).view(np.uint64)
+
+
+def forest(n: int, i: np.ndarray, j: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Which of the edges i-j of n nodes make a spanning forest of the least lengths."""
+    order = np.lexsort((j, i, length))
+    i, j = i[order], j[order]
+    root, live, chosen = np.arange(n), np.arange(len(i)), [np.zeros(0, np.int64)]
+    while True:
+        a, b = root[i[live]], root[j[live]]
+        live, a, b = live[a != b], a[a != b], b[a != b]
+        if not len(live):
+            return order[np.concatenate(chosen)]
+        best = np.full(n, len(live))
+        np.minimum.at(best, a, np.arange(len(live)))
+        np.minimum.at(best, b, np.arange(len(live)))
+        pick = live[np.unique(best[best < len(live)])]
+        chosen.append(pick)
+        root = merged(root, i[pick], j[pick])
+
+
+def _nearest_links(most: int):
+    """Links (a, b) by class id of rows (cid, fp, wide) within ``most`` of all bits."""
+
+    def linked(rows: DataFrame, keys: list[str], budget: int) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for table in whole_groups(batches, keys, 50_000):
+                change = np.zeros(table.num_rows, bool)
+                for key in keys:
+                    v = table[key].to_numpy()
+                    change[1:] |= v[1:] != v[:-1]
+                fp, cid = table["fp"].to_numpy().view(np.uint64), table["cid"].to_numpy()
+                wide = np.frombuffer(b"".join(table["wide"].to_pylist()), np.uint64).reshape(len(cid), -1)
+                group = np.cumsum(change)
+                order = np.lexsort((fp, group))
+                wide, cid = wide[order], cid[order]
+                held = [np.zeros(0, np.int64)] * 3
+                count = 0
+                for i, j in trie_pairs(group[order], fp[order], budget, SHORT_BITS - 1):
+                    differ = np.bitwise_count(wide[i] ^ wide[j]).sum(1, dtype=np.int64)
+                    near = (differ <= most) & (cid[i] != cid[j])
+                    held = [np.r_[x, y[near]] for x, y in zip(held, (i, j, differ), strict=True)]
+                    if len(held[0]) > count + 1_000_000:
+                        keep = forest(len(cid), *held)
+                        held = [x[keep] for x in held]
+                        count = len(keep)
+                keep = forest(len(cid), *held)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(cid[held[0][keep]]), pa.array(cid[held[1][keep]])], ["a", "b"]
+                )
+
+        return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
+
+    return linked
+
+
+def _similar(edges: DataFrame, texts: DataFrame, n: int, similarity: float) -> DataFrame:
+    """The edges (a, b) whose texts (cid, text) share that part of their distinct shingles."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingle_set(t.as_py(), n).tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["cid", "shingles"])
+
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    held = written(texts.mapInArrow(sets, "cid long, shingles binary"), "shingles")
+    one = held.select(F.col("cid").alias("a"), F.col("shingles").alias("x"))
+    two = held.select(F.col("cid").alias("b"), F.col("shingles").alias("y"))
+    return edges.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(alike, "a long, b long")
+
+
+def bits_of(similarity: float, bits: int = SHORT * SHORT_BITS) -> int:
+    """Differing bits that a pair of this Jaccard similarity may have."""
+    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(np.ceil(bits * share + OFF * np.sqrt(bits * share * (1 - share))))
+
+
+def deduplicated(docs: DataFrame, n: int = 5, similarity: float = 0.8, group: int = GROUP) -> DataFrame:
+    """The rows of docs (doc_id, text and others) without near-duplicates of others.
+
+    Two texts link when the Jaccard similarity of their sets of word n-grams is
+    ``similarity`` or more and their fingerprints show it (see the README for
+    the recall); equal texts always do, and all texts without a word. Of each
+    group of texts linked directly or by others one row stays: that of the
+    least doc_id, nulls last, then the least other values. A unique text stays,
+    also with a null doc_id or with one that other rows have. An empty table
+    gives no rows.
+    """
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.withColumn("__digest", F.md5(text.cast("binary")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            wide = [wide_fingerprint(shingle_set(t.as_py(), n)).tobytes() for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(wide, pa.binary())], ["doc_id", "digest", "wide"])
+
+    kind = dict(docs.dtypes)["doc_id"]
+    fps = written(
+        rows.select("doc_id", "__digest", "text").mapInArrow(run, f"doc_id {kind}, digest string, wide binary"),
+        "fingerprints",
+    )
+    # all texts without a word are one class
+    none = F.col("wide") == F.lit(bytes(SHORT * SHORT_BITS // 8))
+    fps = fps.withColumn("class", F.when(none, "").otherwise(F.col("digest")))
+    order = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "digest")
+    classes = fps.groupBy("class").agg(F.first("wide").alias("wide"), F.min(order).alias("least"))
+    classes = written(classes.withColumn("cid", F.monotonically_increasing_id()), "text-classes")
+    word = F.hex("wide")
+    shorts = F.transform(
+        F.sequence(F.lit(0), F.lit(SHORT - 1)),
+        lambda t: F.conv(F.substring(word, t * (SHORT_BITS // 4) + 1, F.lit(SHORT_BITS // 4)), 16, 10).cast("long"),
+    )
+    dealt = classes.where("class <> ''").select("cid", "wide", F.posexplode(shorts).alias("t", "fp"))
+    edges = links(dealt, SHORT_BUDGET, group, LEVELS, SHORT_BITS, ("t",), _nearest_links(bits_of(similarity, SHORT * SHORT_BITS)))
+    edges = written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-pairs")
+    wanted = edges.select(F.col("a").alias("cid")).union(edges.select("b")).distinct()
+    asked = classes.join(wanted, "cid").select("cid", F.col("class").alias("__digest"))
+    texts = rows.join(asked, "__digest").groupBy("cid").agg(F.first("text").alias("text"))
+    groups = components(_similar(edges, texts, n, similarity))
+    least = (
+        classes.join(groups, F.col("cid") == F.col("node"), "left")
+        .groupBy(F.coalesce("component", "cid").alias("label"))
+        .agg(F.min("least").alias("least"))
+        .select("least.doc_id", "least.digest")
+    )
+    sizes = fps.groupBy("doc_id", "digest").agg(F.count("*").alias("copies"))
+    same = [F.col("k.doc_id").eqNullSafe(F.col("s.doc_id")), F.col("k.digest") == F.col("s.digest")]
+    kept = written(least.alias("k").join(sizes.alias("s"), same).select("k.doc_id", "k.digest", "copies"), "kept")
+
+    def held(some: DataFrame) -> DataFrame:
+        found = [F.col("r.doc_id").eqNullSafe(F.col("k.doc_id")), F.col("r.__digest") == F.col("k.digest")]
+        return rows.alias("r").join(some.alias("k"), found, "left_semi")
+
+    out = held(kept.where("copies = 1")).select(*docs.columns)
+    repeated = kept.where("copies > 1")
+    if repeated.isEmpty():
+        return out
+    first = held(repeated).groupBy("doc_id", "__digest").agg(F.min(F.struct("text", *rest)).alias("__least"))
+    return out.unionByName(first.select("doc_id", "__least.*").select(*docs.columns))

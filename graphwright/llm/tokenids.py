@@ -159,7 +159,8 @@ def _store(folder: str, name: str, data: bytes) -> None:
 class _Encoder:
     """Encodes by the tokenizers library; ids come as little-endian bytes.
 
-    New pieces of a portion of texts go to the library together, one a line:
+    The library looks for the tokenizer's added tokens, such as special ones,
+    anywhere in a text, so a text that holds one goes to it whole. New pieces of a portion of texts go to the library together, one a line:
     in such a text each line feed between two pieces is a token of its own.
     """
 
@@ -168,7 +169,7 @@ class _Encoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
         self.width = 2 if tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.kind = f"<u{self.width}"
         self.tokenizer = tokenizer
@@ -201,6 +202,9 @@ class _Encoder:
         known, old, longest = self.memo.get, self.memo.old.get, self.memo.longest
         coded, open_at, new = [], [], {}
         for text in texts:
+            if any(token in text for token in self.added):
+                coded.append([np.array(self._ids(text), self.kind).tobytes()])
+                continue
             own = pieces(text)
             ids = list(map(known, own))
             if None in ids:

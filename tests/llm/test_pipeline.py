@@ -8,9 +8,9 @@ from collections import Counter
 import corpus_pipeline
 import numpy as np
 import pytest
-from test_text_operators import RANKS, brute_groups, brute_lines
+from test_text_operators import RANKS, brute_dedup, brute_lines
 
-from graphwright.llm import langid, mixing, simhash
+from graphwright.llm import langid, mixing
 
 
 @pytest.fixture(scope="module")
@@ -35,8 +35,7 @@ def test_run(spark, small):
     stay = [r for r in rows.collect() if said[r.doc_id] != "und"]
     assert len(stay) == rows.count() - 2
     texts = {doc: text for doc, _, _, text in brute_lines(stay)}
-    groups = brute_groups([(d, simhash.fingerprint(t)) for d, t in texts.items()])
-    kept = {doc for doc, _, least in groups if doc == least}
+    kept = {doc for doc, _ in brute_dedup(list(texts.items()))}
     source = {r.doc_id: r.source for r in stay}
     left = spark.createDataFrame([(d, texts[d], source[d]) for d in kept], "doc_id long, text string, source string")
     times = {r.doc_id: r.taken // r["size"] for r in mixing.mix(left).collect() if r["size"]}
@@ -51,6 +50,15 @@ def test_run(spark, small):
     assert Counter(map(tuple, corpus_pipeline.run(spark, small).collect())) == want
 
 
+def test_near_dedup_keeps_rows_without_id(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    (some,) = docs.where("text is not null").orderBy("doc_id").limit(1).collect()
+    rows = [(None, f"a text {i} of its own with words enough to be one", "en", "s", 1) for i in "ab"]
+    rows += [(1, "another text altogether, and it comes twice", "en", "s", 2)] * 2 + [(2, some.text, "en", "s", 3), (1, some.text, "de", "s", 3)]
+    got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, docs.schema), small).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in got) == sorted({(d or 0, t) for d, t, *_ in rows if d != 2})
+
+
 def test_stages_keep_the_columns(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet").limit(0)
     for name, stage in corpus_pipeline.STAGES[:-1]:

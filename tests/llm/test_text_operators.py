@@ -26,7 +26,6 @@ def reference_ids(texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(JSON)
-    t.encode_special_tokens = True
     return [t.encode(x or "", add_special_tokens=False).ids for x in texts]
 
 
@@ -62,6 +61,15 @@ def test_token_ids(which, request):
     assert [key(r) for r in got] == sorted(key(r) for r in got)
 
 
+def test_token_ids_of_special_tokens(spark):
+    texts = ["hello <|endoftext|> world", "<|endoftext|>", "a<|endoftext|><|endoftext|>b\n\nc", "<|endoftext| >", "x " * 50 + "<|endoftext|>\n"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.ids_crc32 for r in tokenids.token_ids(docs, JSON, 2).collect()}
+    want = reference_ids(texts)
+    assert want[0][2] == 50256
+    assert got == {i: zlib.crc32(np.array([*ids, 2], "<u4").tobytes()) for i, ids in enumerate(want)}
+
+
 def test_token_ids_empty(empty):
     assert tokenids.token_ids(empty, JSON, 2).collect() == []
 
@@ -198,8 +206,83 @@ def test_trie_links(spark, group):
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
 
 
+def similar_groups(texts, least=0.8, n=5):
+    """Root index of each text over links of a Jaccard similarity of least or more."""
+    sets = []
+    for t in texts:
+        words = (t or "").encode().lower().split()
+        sets.append({tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))})
+    root = np.arange(len(texts))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if min(len(a), len(sets[j])) < least * max(len(a), len(sets[j])):
+                continue
+            both = len(a & sets[j])
+            if both >= least * (len(a) + len(sets[j]) - both):
+                root = merged(root, np.array([i]), np.array([j]))
+    return root
+
+
+def brute_dedup(rows):
+    """What simhash.deduplicated keeps of rows (doc_id, text)."""
+    best = {}
+    for (doc, text), r in zip(rows, similar_groups([t for _, t in rows]), strict=True):
+        rank = (doc is None, doc or 0, hashlib.md5((text or "").encode()).hexdigest())
+        best[r] = min(best.get(r, (rank, doc, text or "")), (rank, doc, text or ""))
+    return Counter((doc, text) for _, doc, text in best.values())
+
+
+@pytest.mark.parametrize("which", ["odd", "documents"])
+def test_deduplicated(which, request):
+    docs = request.getfixturevalue(which)
+    got = simhash.deduplicated(docs)
+    assert got.columns == docs.columns
+    want = brute_dedup([(r.doc_id, r.text) for r in docs.collect()])
+    assert Counter((r.doc_id, r.text or "") for r in got.collect()) == want
+
+
+def test_deduplicated_copies(spark):
+    """Groups of near copies larger than one task compares, null and repeated ids, repeated rows."""
+    rng = random.Random(11)
+    some = lambda n: ["".join(rng.choices("abcdefghij", k=6)) for _ in range(n)]
+    rows = []
+    for g in range(6):
+        base = some(150)
+        for _ in range(30):
+            own = base.copy()
+            own[rng.randrange(150)] = some(1)[0]
+            rows.append((None if g == 5 else len(rows) // 2, " ".join(own)))
+    rows += rows[:3] + [(None, " ".join(some(40))), (None, " ".join(some(40))), (7, " ".join(some(40))), (7, ""), (None, None), (1000, " \n")]
+    docs = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, n int")
+    got = simhash.deduplicated(docs, group=20).collect()
+    want = brute_dedup(rows)
+    # of texts without a word and one doc_id any one stays
+    assert Counter((r.doc_id, (r.text or "").strip()) for r in got) == Counter({(d, t.strip()): n for (d, t), n in want.items()})
+
+
+def test_similar_pairs_are_found():
+    rng = random.Random(12)
+    some = lambda n: ["".join(rng.choices("abcdefghij", k=6)) for _ in range(n)]
+    hits = Counter()
+    for _ in range(300):
+        one = some(200)
+        rate = rng.choice([0.005, 0.01, 0.015, 0.02])
+        two = [w if rng.random() > rate else some(1)[0] for w in one]
+        x, y = (simhash.shingle_set(" ".join(t)) for t in (one, two))
+        both = len(np.intersect1d(x, y))
+        alike = both / (len(x) + len(y) - both)
+        a, b = simhash.wide_fingerprint(x), simhash.wide_fingerprint(y)
+        near = (np.bitwise_count(a.view(np.uint32) ^ b.view(np.uint32)) <= simhash.SHORT_BUDGET).any()
+        near &= np.bitwise_count(a ^ b).sum() <= simhash.bits_of(0.8)
+        if alike >= 0.8:
+            hits[alike >= 0.85, bool(near)] += 1
+    assert hits[True, True] >= 0.95 * (hits[True, True] + hits[True, False])
+    assert hits[False, True] >= 0.7 * (hits[False, True] + hits[False, False])
+
+
 def test_simhash_empty(empty):
     assert simhash.simhash_components(empty).collect() == []
+    assert simhash.deduplicated(empty).collect() == []
 
 
 def test_components(spark):
@@ -370,25 +453,110 @@ def test_passage_quoted_in_part_before(spark):
     assert (r.start, r.stop, r.other_start, r.other_stop) == (30, 90, 150, 210)
 
 
-def test_matches_over_batches(spark):
-    rng = random.Random(7)
-    rows = [(rng.randrange(60) ** 2 // 60, rng.randrange(200), i) for i in range(3000)]
-    docs = spark.createDataFrame(rows, "key long, a long, pa int")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
-    try:
-        got = passages._matches(docs.coalesce(1), most=20).collect()
-    finally:
-        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
-    groups = defaultdict(list)
-    for key_, a, at in sorted(rows):
-        groups[key_].append((a, at))
-    want = Counter()
-    for key_, own in groups.items():
-        many = len(own) > 20
-        want.update((key_, a, None, at, None) for a, at in own if many)
-        pairs = [(own[0], y) for y in own[1:]] if many else [(x, y) for i, y in enumerate(own) for x in own[:i]]
-        want.update((key_, y[0], x[0], y[1], x[1]) for x, y in pairs if x[0] != y[0])
-    assert Counter(map(tuple, got)) == want
+def linked_docs(rows):
+    """Least document reachable over the rows of passages, for each document in one."""
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for r in rows:
+        a, b = find(r.doc_id), find(r.other_id)
+        root[max(a, b)] = min(a, b)
+    return {x: find(x) for x in root}
+
+
+@pytest.mark.parametrize("heavy", [False, True])
+def test_passage_of_many_documents(spark, heavy):
+    """A passage that many texts hold, with edits of their own, some only halves; also with seeds dealt out."""
+    rng = random.Random(13)
+    some = lambda n: ["".join(rng.choices("abcdefghij", k=6)) for _ in range(n)]
+    shared, texts, holders = some(80), [], set()
+    for i in range(120):
+        if i % 6 == 0:
+            texts.append(some(30) + (shared[:40] if i % 12 else shared[40:]) + some(30))
+            continue
+        own = shared.copy()
+        for at in rng.sample(range(80), rng.choice([0, 0, 2, 5, 8])):
+            own[at] = some(1)[0]
+        holders.add(i)
+        texts.append(some(rng.randrange(60)) + own + some(20))
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    how = {"heavy_rows": 5, "sample": 1} if heavy else {}
+    rows = passages.repeated_passages(docs, **how).collect()
+    root = linked_docs(rows)
+    assert set(root) == holders
+    assert len({root[i] for i in holders}) == 1
+    assert len(rows) < (20 if heavy else 8) * len(holders)
+
+
+def test_passages_however_partitioned(documents):
+    one = passages.repeated_passages(documents.coalesce(1)).collect()
+    two = passages.repeated_passages(documents.repartition(7, "text")).collect()
+    assert Counter(map(tuple, one)) == Counter(map(tuple, two)) and one
+
+
+def test_fuzzy_recall(spark):
+    """Of passages of 60 words with 5 to 15 in 100 words changed, put in or left out, 97 in 100 are found."""
+    rng = random.Random(14)
+    some = lambda n: ["".join(rng.choices("abcdefghij", k=6)) for _ in range(n)]
+
+    def changed(words, rate):
+        out = []
+        for w in words:
+            x = rng.random()
+            out += [w] if x > rate else [[], some(1), [w, *some(1)]][rng.randrange(3)]
+        return out
+
+    texts, rates = [], {}
+    for i in range(240):
+        shared = some(60)
+        rates[2 * i + 1] = rng.choice([0.05, 0.1, 0.15])
+        texts += [some(40) + shared + some(40), some(20) + changed(shared, rates[2 * i + 1]) + some(60)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = {r.doc_id for r in passages.repeated_passages(docs).collect() if r.other_id == r.doc_id - 1}
+    assert len([i for i in rates if rates[i] < 0.15 and i not in found]) <= 2
+    assert len(found) >= 0.95 * len(rates)
+
+
+def test_long_passages_with_stolen_seeds(spark):
+    """A passage far longer than what is fetched at first, most of whose seeds lead to other documents."""
+    rng = random.Random(15)
+    some = lambda n: ["".join(rng.choices("abcdefghij", k=6)) for _ in range(n)]
+    shared = some(3000)
+    texts = [some(20) + shared[:1400] + some(20), some(20) + shared[1500:] + some(20), some(5) + shared + some(5), some(9) + shared + some(9)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    rows = passages.repeated_passages(docs).collect()
+    assert (3, 2, 9, 3009, 5, 3005) in {(r.doc_id, r.other_id, r.start, r.stop, r.other_start, r.other_stop) for r in rows}
+
+
+def test_alignment_against_brute_force():
+    rng, found, most = random.Random(16), 0, 0
+    for _ in range(60):
+        one = [rng.randrange(2000) for _ in range(rng.randrange(60, 120))]
+        two = [w for x in one for w in ([x] if rng.random() > 0.1 else [[], [rng.randrange(2000)], [x, rng.randrange(2000)]][rng.randrange(3)])]
+        x, y = np.array(one, np.uint64), np.array(two, np.uint64)
+        px, py = passages.common(x, y, -30, 30)
+        best = max(passages.chains(px, py), key=len)
+        mx, my = passages.aligned(x, y, px[best], py[best])
+        assert (x[mx] == y[my]).all() and (np.diff(mx) > 0).all() and (np.diff(my) > 0).all()
+        rows = [[0] * (len(two) + 1) for _ in range(len(one) + 1)]
+        for i, a in enumerate(one):
+            for j, b in enumerate(two):
+                rows[i + 1][j + 1] = rows[i][j] + 1 if a == b else max(rows[i][j + 1], rows[i + 1][j])
+        found, most = found + len(mx), most + rows[-1][-1]
+    assert found >= 0.97 * most  # ends behind many edits stay out
+
+
+def test_common_places():
+    rng = np.random.default_rng(17)
+    x, y = rng.integers(0, 3, 60).astype(np.uint64), rng.integers(0, 3, 50).astype(np.uint64)
+    hx, hy = passages.kmers(x), passages.kmers(y)
+    keep = [set(passages.distinct(h, np.arange(len(h)))[1].tolist()) for h in (hx, hy)]
+    want = {(i, j) for i in keep[0] for j in keep[1] if hx[i] == hy[j] and -9 <= i - j <= 5}
+    assert set(zip(*(p.tolist() for p in passages.common(x, y, -9, 5)), strict=True)) == want
 
 
 def test_passages_odd(odd, empty):
