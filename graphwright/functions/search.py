@@ -1,13 +1,16 @@
-"""The search language over a record's fields, compiled to one Column.
-
-    field op value, terms joined by and / or / not or && || !, parentheses;
-    terms side by side are joined by and; a bare term is contained in any field.
-    Operators: == != >= <= > < contains. Quotes keep spaces, with \\" and \\\\.
-
-A record's fields are ``array<struct<name, value>>``. ``!=`` holds if the field
-exists and no value equals; any other operator, if some value satisfies it.
-Order compares decimals of any length, else instants; a value of the other kind
-never satisfies it.
+"""Search terms over a record's fields, as Columns to join with & | and ~.
+
+A term is a field, an operator (== != >= <= > < contains) and a wanted text.
+``!=`` holds if the field exists and no value equals; any other operator, if
+some value satisfies it. Order compares decimals of any length, else instants;
+a value of the other kind never satisfies it. A field is known by its name, else
+by the end of one after a dot.
+
+Where the fields of all records are columns, ``term`` takes these by name: the
+field is looked up when the plan is built, so a scan reads the columns that are
+asked for only, and order on numeric columns reaches the scan. Where each
+record has fields of its own, they are ``array<struct<name, value>>``, and
+``compare`` and ``mentions`` look into that.
 """
 
 from __future__ import annotations
@@ -15,41 +18,20 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_BYTES, MAX_TERMS, MAX_DEPTH = 4096, 32, 16
-_TOKEN = re.compile(r'\s*(?:(?P<quoted>"(?:\\["\\]|[^"\\])*")|(?P<sym>==|!=|>=|<=|&&|\|\||[><!()])|(?P<word>[^\s"()<>=!&|]+))')
-_COMPARE = {"==", "!=", ">=", "<=", ">", "<", "contains"}
+#: The operators of a term.
+OPERATORS = ("==", "!=", ">=", "<=", ">", "<", "contains")
 _DECIMAL = r"^[+-]?\d+(\.\d+)?$"
+#: Decimals that fit a decimal(38, 10).
+_SHORT = r"^[+-]?\d{1,28}(\.\d{1,10})?$"
+#: Types whose order is that of their decimal text.
+_NUMERIC = ("tinyint", "smallint", "int", "bigint", "decimal", "float", "double")
 
 
 class SearchError(ValueError):
-    """What is wrong with an expression, and at which character."""
-
-    def __init__(self, message: str, at: int):
-        super().__init__(f"{message} at {at}")
-        self.at = at
-
-
-def tokens(text: str) -> list[tuple[str, str, int]]:
-    """(kind, text, place) of each token."""
-    out, at = [], 0
-    while text[at:].strip():
-        m = _TOKEN.match(text, at)
-        if not m:
-            raise SearchError("unreadable character", at)
-        start = m.start(m.lastgroup)
-        value = m[m.lastgroup]
-        if m.lastgroup == "quoted":
-            out.append(("value", re.sub(r"\\(.)", r"\1", value[1:-1]), start))
-        elif m.lastgroup == "sym":
-            out.append(({"&&": "and", "||": "or", "!": "not"}.get(value, value), value, start))
-        else:
-            low = value.lower()
-            out.append((low if low in ("and", "or", "not", "contains") else "value", value, start))
-        at = m.end()
-    return out
+    """What is wrong with a term."""
 
 
 def decimal_key(text: Column) -> Column:
@@ -77,96 +59,95 @@ def _ordered(value: Column, op: str, want: str) -> Column:
 
     if re.match(_DECIMAL, want):
         out = compare(decimal_key(value), decimal_key(F.lit(want)))
+        if re.match(_SHORT, want):  # most values are short, and cheap to compare
+            small = F.lit(want).cast("decimal(38,10)")
+            out = F.when(value.rlike(_SHORT), compare(value.try_cast("decimal(38,10)"), small)).otherwise(out)
     else:
         out = compare(F.try_to_timestamp(value), F.try_to_timestamp(F.lit(want)))
     return F.coalesce(out, F.lit(False))
 
 
+def _checked(op: str, want: str) -> None:
+    if op not in OPERATORS:
+        raise SearchError(f"operator {op}")
+    if not isinstance(want, str):
+        raise SearchError("a wanted value is a text")
+
+
+def _satisfied(value: Column, op: str, want: str) -> Column:
+    """Whether one value satisfies an operator other than !=; never null."""
+    if op == "==":
+        hit = F.lower(value) == want.lower()
+    elif op == "contains":
+        hit = F.contains(F.lower(value), F.lit(want.lower()))
+    else:
+        return _ordered(value, op, want)
+    return F.coalesce(hit, F.lit(False))
+
+
+def named_fields(df: DataFrame, **names: str) -> dict[str, tuple[Column, str]]:
+    """Fields of df for ``term``: name to (column, type); names: column to field name."""
+    kinds = dict(df.dtypes)
+    return {names.get(c, c): (F.col(c), kinds[c]) for c in df.columns}
+
+
+def term(fields: dict[str, tuple[Column, str]], field: str, op: str, want: str) -> Column:
+    """Whether the columns of a record satisfy one term; a field that no column has never does.
+
+    Order on a numeric column is null where the column is, so that it reaches
+    the scan as it is; use ``F.coalesce`` before negating it.
+    """
+    _checked(op, want)
+    own = [fields[field]] if field in fields else [v for n, v in fields.items() if n.endswith("." + field)]
+    if not own:
+        return F.lit(False)
+    if op == "!=":
+        equal = [_satisfied(c.cast("string"), "==", want) for c, _ in own]
+        return ~reduce(lambda a, b: a | b, equal)
+    hits = []
+    for column, kind in own:
+        if kind.startswith(_NUMERIC) and op not in ("==", "contains"):
+            hits.append(_numeric(column, kind, op, want))
+        else:
+            hits.append(_satisfied(column.cast("string"), op, want))
+    return reduce(lambda a, b: a | b, hits)
+
+
+def _numeric(column: Column, kind: str, op: str, want: str) -> Column:
+    """Order of a numeric column, in a form that a scan can use."""
+    if not re.match(_DECIMAL, want):
+        return F.lit(False)
+    real = kind in ("float", "double")
+    if not real and not re.match(_SHORT, want):
+        return _ordered(column.cast("string"), op, want)
+    bound = F.lit(want).cast("double" if real else f"decimal(38,{len(want.partition('.')[2])})")
+    hit = {">=": column >= bound, "<=": column <= bound, ">": column > bound, "<": column < bound}[op]
+    return hit & ~F.isnan(column) if real else hit
+
+
+def mentioned(fields: dict[str, tuple[Column, str]], text: str) -> Column:
+    """Whether any of the columns holds the text, without case."""
+    hits = [_satisfied(c.cast("string"), "contains", text) for c, _ in fields.values()]
+    return reduce(lambda a, b: a | b, hits, F.lit(False))
+
+
 def _named(name: Column, field: str) -> Column:
     return (name == field) | name.endswith("." + field)
 
 
 def compare(fields: Column, field: str, op: str, want: str) -> Column:
-    """Whether a record's fields satisfy one term."""
+    """Whether a record's own fields (an array) satisfy one term."""
+    _checked(op, want)
     exact = F.exists(fields, lambda f: f["name"] == field)
     own = F.filter(
         fields, lambda f: F.when(exact, f["name"] == field).otherwise(_named(f["name"], field))
     )
     if op == "!=":
-        none = ~F.exists(own, lambda f: F.coalesce(F.lower(f["value"]) == want.lower(), F.lit(False)))
-        return (F.size(own) > 0) & none
-
-    def satisfied(f: Column) -> Column:
-        if op == "==":
-            hit = F.lower(f["value"]) == want.lower()
-        elif op == "contains":
-            hit = F.contains(F.lower(f["value"]), F.lit(want.lower()))
-        else:
-            hit = _ordered(f["value"], op, want)
-        return F.coalesce(hit, F.lit(False))
-
-    return F.exists(own, satisfied)
-
-
-def search(text: str, fields: Column) -> Column:
-    """The expression as a Column that is never null."""
-    if len(text.encode()) > MAX_BYTES:
-        raise SearchError("expression too long", MAX_BYTES)
-    stream, at, terms = tokens(text), 0, 0
-
-    def peek(k: int = 0) -> str | None:
-        return stream[at + k][0] if at + k < len(stream) else None
-
-    def either(depth: int) -> Column:
-        nonlocal at
-        parts = [both(depth)]
-        while peek() == "or":
-            at += 1
-            parts.append(both(depth))
-        return reduce(lambda a, b: a | b, parts)
-
-    def both(depth: int) -> Column:
-        nonlocal at
-        parts = [negated(depth)]
-        while peek() not in (None, ")", "or"):
-            at += peek() == "and"
-            parts.append(negated(depth))
-        return reduce(lambda a, b: a & b, parts)
-
-    def negated(depth: int) -> Column:
-        nonlocal at, terms
-        place = stream[at][2] if at < len(stream) else len(text)
-        if depth > MAX_DEPTH:
-            raise SearchError("too deep", place)
-        if peek() == "not":
-            at += 1
-            return ~negated(depth + 1)
-        if peek() == "(":
-            at += 1
-            out = either(depth + 1)
-            if peek() != ")":
-                raise SearchError("missing parenthesis", place)
-            at += 1
-            return out
-        if peek() != "value":
-            raise SearchError("term expected", place)
-        terms += 1
-        if terms > MAX_TERMS:
-            raise SearchError("too many terms", place)
-        word = stream[at][1]
-        at += 1
-        if peek() in _COMPARE:
-            op = peek()
-            if peek(1) != "value":
-                raise SearchError("value expected", place)
-            want = stream[at + 1][1]
-            at += 2
-            return compare(fields, word, op, want)
-        return F.exists(fields, lambda f: F.coalesce(F.contains(F.lower(f["value"]), F.lit(word.lower())), F.lit(False)))
-
-    if not stream:
-        raise SearchError("empty expression", 0)
-    out = either(0)
-    if at < len(stream):
-        raise SearchError("unexpected token", stream[at][2])
-    return F.coalesce(out, F.lit(False))
+        none = ~F.exists(own, lambda f: _satisfied(f["value"], "==", want))
+        return F.coalesce((F.size(own) > 0) & none, F.lit(False))
+    return F.coalesce(F.exists(own, lambda f: _satisfied(f["value"], op, want)), F.lit(False))
+
+
+def mentions(fields: Column, text: str) -> Column:
+    """Whether any of a record's own fields (an array) holds the text, without case."""
+    return F.coalesce(F.exists(fields, lambda f: _satisfied(f["value"], "contains", text)), F.lit(False))

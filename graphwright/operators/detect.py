@@ -8,15 +8,16 @@ the records.
 
 from __future__ import annotations
 
+import ast
 import fnmatch
 import re
-from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.network import in_cidr
+from . import logsource
 
 #: Ranks of rule levels.
 LEVELS = {"informational": 0, "low": 1, "medium": 2, "high": 3, "critical": 4}
@@ -93,69 +94,92 @@ def selection(spec) -> Column:
 
 
 def condition(text: str, selections: dict[str, Column]) -> Column:
-    """and / or / not / parentheses, ``1 of`` and ``all of`` a name pattern or them."""
-    words = re.findall(r"\(|\)|[^\s()]+", text)
-    at = 0
+    """and / or / not / parentheses, ``1 of`` and ``all of`` a name pattern or them.
 
-    def chosen(name: str) -> list[Column]:
-        wanted = "*" if name == "them" else name
-        got = [c for n, c in selections.items() if fnmatch.fnmatch(n, wanted) and (name != "them" or not n.startswith("_"))]
+    Names are put in the form of Python names, and Python reads the expression.
+    """
+    known = dict(selections)
+
+    def chosen(m: re.Match) -> str:
+        wanted = "*" if m[2] == "them" else m[2]
+        got = [c for n, c in selections.items() if fnmatch.fnmatch(n, wanted) and (m[2] != "them" or not n.startswith("_"))]
         if not got:
-            raise RuleError(f"no selection {name}")
-        return got
-
-    def joined(word: str, below: Callable[[], Column], join) -> Column:
-        nonlocal at
-        parts = [below()]
-        while at < len(words) and words[at].lower() == word:
-            at += 1
-            parts.append(below())
-        return join(parts)
-
-    def unit() -> Column:
-        nonlocal at
-        if at >= len(words):
-            raise RuleError("condition ends early")
-        word = words[at]
-        at += 1
-        if word.lower() == "not":
-            return ~unit()
-        if word == "(":
-            out = either()
-            if at >= len(words) or words[at] != ")":
-                raise RuleError("missing parenthesis")
-            at += 1
-            return out
-        if at + 1 < len(words) and words[at].lower() == "of" and word.lower() in ("1", "all"):
-            got = chosen(words[at + 1])
-            at += 2
-            return (_any if word == "1" else _all)(got)
-        if word not in selections:
+            raise RuleError(f"no selection {m[2]}")
+        known[m[0]] = (_any if m[1] == "1" else _all)(got)
+        return m[0]
+
+    names: list[str] = []
+
+    def named(m: re.Match) -> str:
+        word = re.sub(r"^(1|all)\s+of\s+(\S+)$", chosen, m[0], flags=re.IGNORECASE)
+        if word.lower() in ("and", "or", "not"):
+            return word.lower()
+        names.append(word)
+        return f"n{len(names) - 1}"
+
+    try:
+        tree = ast.parse(re.sub(r"(?i)\b(?:1|all)\s+of\s+[^\s()]+|[^\s()]+", named, text).strip(), mode="eval").body
+    except SyntaxError as e:
+        raise RuleError(f"condition: {e.msg}") from e
+
+    def column(node: ast.expr) -> Column:
+        if isinstance(node, ast.BoolOp):
+            return (_all if isinstance(node.op, ast.And) else _any)([column(v) for v in node.values])
+        if isinstance(node, ast.UnaryOp):
+            return ~column(node.operand)
+        if not isinstance(node, ast.Name):
+            raise RuleError("condition: a name expected")
+        word = names[int(node.id[1:])]
+        if word not in known:
             raise RuleError(f"no selection {word}")
-        return selections[word]
+        return known[word]
 
-    def both() -> Column:
-        return joined("and", unit, _all)
+    return column(tree)
 
-    def either() -> Column:
-        return joined("or", both, _any)
 
-    out = either()
-    if at < len(words):
-        raise RuleError(f"unexpected {words[at]}")
-    return out
+def fields_of(rule: dict) -> set[str]:
+    """Names of the fields that a rule looks at."""
+    spec = rule["detection"]
+    parts = [s for n in spec if n != "condition" for s in (spec[n] if isinstance(spec[n], list) else [spec[n]])]
+    return {key.split("|")[0] for s in parts for key in s}
+
 
+def compiled(rule: dict, columns: list[str], names: dict[str, str] | None = None) -> Column:
+    """A rule as a Column; RuleError if a field is unknown to the records.
+
+    names: what the records call a rule's fields, where it differs.
+    """
+    names = names or {}
+    for field in sorted(fields_of(rule)):
+        if names.get(field, field) not in columns:
+            raise RuleError(f"field {field}")
+
+    def renamed(spec):
+        if isinstance(spec, list):
+            return [renamed(s) for s in spec]
+        return {"|".join([names.get(k.split("|")[0], k.split("|")[0]), *k.split("|")[1:]]): v for k, v in spec.items()}
 
-def compiled(rule: dict, columns: list[str]) -> Column:
-    """A rule as a Column; RuleError if a field is unknown to the records."""
     spec = rule["detection"]
-    names = [n for n in spec if n != "condition"]
-    for n in names:
-        for s in spec[n] if isinstance(spec[n], list) else [spec[n]]:
-            for key in s:
-                if key.split("|")[0] not in columns:
-                    raise RuleError(f"field {key.split('|')[0]}")
-    return condition(spec["condition"], {n: selection(spec[n]) for n in names})
+    return condition(spec["condition"], {n: selection(renamed(spec[n])) for n in spec if n != "condition"})
+
+
+def targeted(rule: dict, columns: list[str], service: Column, event_id: Column) -> Column:
+    """A rule as a Column over the records that its logsource names only."""
+    try:
+        own = logsource.recorded(logsource.targets(rule.get("logsource", {})), fields_of(rule))
+    except logsource.SourceError as e:
+        raise RuleError(f"logsource: {e}") from e
+    parts, why = [], None
+    for target in own:
+        try:
+            hit = compiled(rule, columns, target.names)
+        except RuleError as e:
+            why = e
+            continue
+        parts.append(logsource.of_target(target, service, event_id, columns) & hit)
+    if not parts:
+        raise why
+    return _any(parts)
 
 
 def load(folder: str) -> tuple[list[dict], dict[str, str]]:
@@ -176,12 +200,18 @@ def load(folder: str) -> tuple[list[dict], dict[str, str]]:
     return rules, skipped
 
 
-def hits(records: DataFrame, rules: list[dict], keep: list[str]) -> tuple[DataFrame, dict[str, str]]:
-    """(keep, rule, level) of each record and rule that matches, and rules not evaluated."""
+def hits(
+    records: DataFrame, rules: list[dict], keep: list[str], service: Column | None = None, event_id: Column | None = None
+) -> tuple[DataFrame, dict[str, str]]:
+    """(keep, rule, level) of each record and rule that matches, and rules not evaluated.
+
+    With the service and event id of a record, a rule looks at the records of
+    its logsource only.
+    """
     found, skipped = [], {}
     for rule in rules:
         try:
-            hit = compiled(rule, records.columns)
+            hit = compiled(rule, records.columns) if service is None else targeted(rule, records.columns, service, event_id)
         except RuleError as e:
             skipped[rule["title"]] = str(e)
             continue
@@ -193,6 +223,12 @@ def hits(records: DataFrame, rules: list[dict], keep: list[str]) -> tuple[DataFr
     return records.select(*keep, F.explode(own).alias("h")).select(*keep, "h.rule", "h.level"), skipped
 
 
+def hits_within(found: DataFrame, records: DataFrame, predicate: Column) -> tuple[DataFrame, DataFrame]:
+    """Hits (record, rule) on the records (record) that a search selects, and (rule, hits) of them."""
+    own = found.join(records.where(predicate).select("record").distinct(), "record", "left_semi")
+    return own, own.groupBy("rule").agg(F.count("*").alias("hits"))
+
+
 def ordered_pattern(
     edges: DataFrame, roles: list[tuple[str, Column]], keys: list[str], time: Column, edge_id: str, within: int
 ) -> DataFrame:

@@ -49,6 +49,52 @@ def reached_edges(edges: DataFrame, origins: DataFrame, depth: int) -> DataFrame
     return edges.join(own, "edge", "left_semi")
 
 
+def expanded(edges: DataFrame, nodes: DataFrame, origins: DataFrame, depth: int, keep: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """The edges (edge) that a search of ``depth`` steps from the origins meets, and (node, hops).
+
+    edges (edge, kind, src, dst and others), nodes (node, node_kind and others).
+    keep: which edges the search follows, over the columns of edges and those of
+    both ends with the prefixes src_ and dst_ (src_node_kind, ...). A terminal
+    that is not an origin is not followed to the records that name it: all
+    records of a terminal name it.
+    """
+    if not 0 <= depth <= 8:
+        raise ValueError("depth is 0 to 8")
+    own = [c for c in nodes.columns if c != "node"]
+    ends = [nodes.select(F.col("node").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in own)) for side in ("src", "dst")]
+    known = edges.join(ends[0], "src").join(ends[1], "dst")
+    if keep is not None:
+        known = known.where(F.coalesce(keep, F.lit(False)))
+    there = known.select("edge", "kind", "src", F.col("src_node_kind").alias("from_kind"), "dst")
+    back = known.select("edge", "kind", F.col("dst").alias("src"), F.col("dst_node_kind").alias("from_kind"), F.col("src").alias("dst"))
+    ways = written(there.union(back), "ways")
+    seen = written(origins.select("node").distinct().withColumn("hops", F.lit(0)), "reached")
+    met = []
+    for hop in range(1, depth + 1):
+        frontier = seen.where(F.col("hops") == hop - 1).select(F.col("node").alias("src"))
+        steps = ways.join(frontier, "src", "left_semi")
+        if hop > 1:
+            steps = steps.where(~((F.col("from_kind") == "terminal") & (F.col("kind") == "record_names_object")))
+        steps = written(steps.select("edge", "dst").distinct(), "steps")
+        met.append(steps.select("edge"))
+        new = steps.select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("hops", F.lit(hop))
+        following = written(seen.union(new), "reached")
+        dropped(seen)
+        seen = following
+    found = edges.select("edge").limit(0)
+    for part in met:
+        found = found.union(part)
+    return found.distinct(), seen
+
+
+def record_elements(node_evidence: DataFrame, edge_evidence: DataFrame, records: DataFrame) -> DataFrame:
+    """(element, id, records): nodes and edges with evidence among the records (record)."""
+    nodes = node_evidence.select(F.lit("node").alias("element"), F.col("node").alias("id"), "record")
+    edges = edge_evidence.select(F.lit("edge"), F.col("edge"), "record")
+    own = nodes.union(edges).join(records.select("record").distinct(), "record", "left_semi")
+    return own.groupBy("element", "id").agg(F.count_distinct("record").alias("records"))
+
+
 def closure(pairs: DataFrame) -> DataFrame:
     """(name, root): least name of each component of linked names (a, b)."""
     links = pairs.select("a", "b").union(pairs.select(F.col("b"), F.col("a")))
@@ -75,30 +121,79 @@ def earliest_arrivals(contacts: DataFrame, origin, start) -> DataFrame:
     contacts (src, dst, depart, arrive). A step is taken only at or after the
     arrival at its source. Rounds go on until no arrival changes.
     """
+    return first_arrivals(contacts, origin, start).select("node", "arrival")
+
+
+def first_arrivals(contacts: DataFrame, origin, start) -> DataFrame:
+    """(node, arrival, hops): earliest arrivals, and the fewest steps of those that give them."""
     spark = contacts.sparkSession
     kind = dict(contacts.dtypes)
     seed = spark.range(1).select(
-        F.lit(origin).cast(kind["src"]).alias("node"), F.lit(start).cast(kind["arrive"]).alias("arrival")
+        F.lit(origin).cast(kind["src"]).alias("node"), F.lit(start).cast(kind["arrive"]).alias("arrival"), F.lit(0).alias("hops")
     )
+    first = F.min(F.struct("arrival", "hops")).alias("first")
     best, before = written(seed, "arrivals"), None
     while True:
         steps = (
             contacts.join(best, contacts.src == best.node)
             .where("depart >= arrival")
             .groupBy(F.col("dst").alias("node"))
-            .agg(F.min("arrive").alias("arrival"))
+            .agg(F.min(F.struct(F.col("arrive").alias("arrival"), (F.col("hops") + 1).alias("hops"))).alias("first"))
+            .select("node", "first.*")
         )
-        new = written(best.union(steps).groupBy("node").agg(F.min("arrival").alias("arrival")), "arrivals")
+        new = written(best.union(steps).groupBy("node").agg(first).select("node", "first.*"), "arrivals")
         dropped(best)
         best = new
-        # nodes only come and arrivals only fall, so both sums stay only if all do
-        after = tuple(best.agg(F.count("*"), F.sum(F.col("arrival").cast("decimal(38,0)"))).first())
+        # nodes only come, arrivals only fall, and steps with them, so the sums stay only if all do
+        after = tuple(best.agg(F.count("*"), F.sum(F.col("arrival").cast("decimal(38,0)")), F.sum("hops")).first())
         if after == before:
             break
         before = after
     return best
 
 
+def earliest_route(contacts: DataFrame, origin, target, start, end) -> list:
+    """The contacts (contact) of one path that reaches target first, from origin on; empty if none by end.
+
+    Of equally early paths it takes one of the fewest steps, and the least
+    contacts from the end on. The route is one path, so the driver follows it
+    back step by step.
+    """
+    arrivals = first_arrivals(contacts, origin, start)
+    before = arrivals.select(F.col("node").alias("src"), F.col("arrival").alias("__left"), F.col("hops").alias("__hops"))
+    came = contacts.join(before, "src").where("depart >= __left")
+    reached_at = arrivals.select(F.col("node").alias("dst"), "arrival", "hops")
+    via = came.join(reached_at, "dst").where("arrive = arrival and hops = __hops + 1")
+    via = written(via.groupBy("dst").agg(F.min(F.struct("contact", "src", "arrival")).alias("v")).select("dst", "v.*"), "routes")
+    route, node = [], target
+    while node != origin:
+        step = via.where(F.col("dst") == F.lit(node)).first()
+        if step is None or (not route and step.arrival > end):
+            return []
+        route.append(step.contact)
+        node = step.src
+    return route[::-1]
+
+
+def separated(contacts: DataFrame, sends: DataFrame, receives: DataFrame) -> DataFrame:
+    """Contacts in which alternative matches of one record are no way from one to another.
+
+    sends (contact, record, candidate): contacts from a candidate to a record;
+    receives (contact): those from a record back to a candidate. A record of
+    two or more candidates gets a vertex of its own for each, record#candidate,
+    which a candidate's contacts enter and from which the record's others leave.
+    """
+    many = sends.groupBy("record").agg(F.count_distinct("candidate").alias("__n")).where("__n > 1").select("record")
+    split = sends.join(many, "record", "left_semi").select("contact", "record", F.col("candidate").cast("string").alias("candidate"))
+    name = F.concat_ws("#", F.col("record").cast("string"), "candidate")
+    entered = contacts.join(split.select("contact", name.alias("__to")), "contact", "left")
+    entered = entered.withColumns({"src": F.col("src").cast("string"), "dst": F.coalesce("__to", F.col("dst").cast("string"))}).drop("__to")
+    onward = contacts.join(receives.select("contact").distinct(), "contact", "left_anti")
+    doors = split.select("record", "candidate").distinct()
+    copies = onward.join(doors, onward.src == doors.record).withColumns({"src": name, "dst": F.col("dst").cast("string")})
+    return entered.unionByName(copies.select(*entered.columns))
+
+
 def latest_departures(contacts: DataFrame, target, end) -> DataFrame:
     """(node, departure): the latest time to be at each node and still reach target by end."""
     turned = contacts.select(

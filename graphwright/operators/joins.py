@@ -86,21 +86,28 @@ def interval_candidates(
     """Points with the intervals of the same keys that hold them, both ends included.
 
     at, start and end are whole numbers of one unit; a null start or end is
-    open. Intervals are dealt out by buckets of time up to 64 each; the rare
-    longer or open ones join by keys alone.
+    open. Intervals are cut to the range of the points and dealt out by buckets
+    of time, at most about 64 each: an interval of more has buckets that are 4,
+    16, 64, ... times as wide. A point looks into its bucket of each width in
+    use, so that no join is by keys alone, and most of what meets is a result.
     """
-    low, high = F.floor(F.col(start) / bucket), F.floor(F.col(end) / bucket)
-    marked = intervals.withColumns({"__lo": low, "__hi": high})
-    short = F.coalesce(F.col("__hi") - F.col("__lo") < 64, F.lit(False))
+    range_ = F.broadcast(points.agg(F.min(F.floor(F.col(at) / bucket)).alias("__min"), F.max(F.floor(F.col(at) / bucket)).alias("__max")))
+
+    def level(width: Column) -> Column:
+        return F.greatest(F.lit(0), F.ceil(F.log(4.0, width / 64))).cast("int")
+
+    low = F.greatest(F.floor(F.col(start) / bucket), F.col("__min"))  # nulls, which are open ends, don't count
+    high = F.least(F.floor(F.col(end) / bucket), F.col("__max"))
+    marked = intervals.crossJoin(range_).withColumns({"__lo": low, "__hi": high}).where("__hi >= __lo")
+    marked = marked.withColumn("__level", level(F.col("__hi") - F.col("__lo") + 1))
+    size = F.expr("cast(pow(4, __level) as bigint)")
+    dealt = marked.withColumn("__bucket", F.explode(F.sequence(F.floor(F.col("__lo") / size), F.floor(F.col("__hi") / size))))
+    levels = F.sequence(F.lit(0), level(F.col("__max") - F.col("__min") + 1))
+    asked = points.crossJoin(range_).where(F.col(at).isNotNull()).withColumn("__level", F.explode(levels))
+    asked = asked.withColumn("__bucket", F.floor(F.floor(F.col(at) / bucket) / size)).drop("__min", "__max")
     inside = (F.col(at) >= F.coalesce(start, at)) & (F.col(at) <= F.coalesce(end, at))
-    dealt = (
-        marked.where(short & (F.col("__hi") >= F.col("__lo")))
-        .withColumn("__bucket", F.explode(F.sequence("__lo", "__hi")))
-        .drop("__lo", "__hi")
-    )
-    by_bucket = points.withColumn("__bucket", F.floor(F.col(at) / bucket)).join(dealt, [*keys, "__bucket"])
-    by_key = points.join(marked.where(~short).drop("__lo", "__hi"), keys)
-    return by_bucket.drop("__bucket").unionByName(by_key).where(inside)
+    met = asked.join(dealt.drop("__lo", "__hi", "__min", "__max"), [*keys, "__level", "__bucket"])
+    return met.where(inside).drop("__level", "__bucket")
 
 
 def resolved(
@@ -141,11 +148,18 @@ def resolved(
 
 
 def overlapping(
-    left: DataFrame, right: DataFrame, keys: list[str], left_span: tuple[str, str], right_span: tuple[str, str]
+    left: DataFrame, right: DataFrame, keys: list[str], left_span: tuple[str, str], right_span: tuple[str, str], bucket: int
 ) -> DataFrame:
-    """Pairs equal on keys whose closed spans share a moment."""
+    """Pairs equal on keys whose closed spans, in whole units, share a moment.
+
+    Either the right one starts within the left one, or the left one starts
+    within the right one, and later; so both are lookups of points in spans.
+    """
     (a, b), (c, d) = left_span, right_span
-    return left.join(right, keys).where((F.col(a) <= F.col(d)) & (F.col(c) <= F.col(b)))
+    one = interval_candidates(right, left, keys, c, a, b, bucket)
+    two = interval_candidates(left, right, keys, a, c, d, bucket).where(F.col(a) > F.col(c))
+    proper = (F.col(a) <= F.col(b)) & (F.col(c) <= F.col(d))
+    return one.unionByName(two).where(proper)
 
 
 def phased_pairs(
@@ -182,7 +196,9 @@ def visible_writes(
 ) -> DataFrame:
     """(write_id, read_id): writes not after a read, with no replacement between.
 
-    A write is visible to a read exactly if both see the same version.
+    A write is visible to a read exactly if both see the same version. The
+    pairs are the result, so a version that many write and many read gives
+    their product; ``content_versions`` says the same in a row for each.
     """
     w = version_starts(writes, replacements, keys, time, time).withColumnRenamed(time, "__wt")
     r = version_starts(reads, replacements, keys, time, time).withColumnRenamed(time, "__rt")
@@ -192,12 +208,31 @@ def visible_writes(
     return w.join(r, [*keys, "__version"]).where("__wt <= __rt").select(write_id, read_id)
 
 
+def content_versions(
+    writes: DataFrame, reads: DataFrame, replacements: DataFrame, keys: list[str], time: str, write_id: str, read_id: str
+) -> DataFrame:
+    """(keys, version_start, kind, id, time): each write and read at the version it belongs to.
+
+    A read sees the writes of its version that come not after it; a null start
+    is the first content.
+    """
+    both = writes.select(*keys, time, F.lit("write").alias("kind"), F.col(write_id).alias("id")).unionByName(
+        reads.select(*keys, time, F.lit("read").alias("kind"), F.col(read_id).alias("id"))
+    )
+    return version_starts(both, replacements, keys, time, time).select(*keys, "version_start", "kind", "id", time)
+
+
 def equal_content(nodes: DataFrame, node_id: str, keys: list[str]) -> DataFrame:
-    """(first, second): pairs of nodes with equal content keys, each pair once."""
+    """(representative, member): classes of two or more nodes with equal content keys.
+
+    The representative is the least node of the class, and a member too. Two
+    nodes match if they have one representative: as many rows as nodes, also
+    for the content that most of them have.
+    """
     known = reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in keys))
-    rows = nodes.where(known).select(node_id, *keys)
-    a, b = rows.withColumnRenamed(node_id, "first"), rows.withColumnRenamed(node_id, "second")
-    return a.join(b, keys).where("first < second").select("first", "second")
+    rows = nodes.where(known).select(F.col(node_id).alias("member"), *keys)
+    classes = rows.groupBy(*keys).agg(F.min("member").alias("representative"), F.count("*").alias("__n")).where("__n > 1")
+    return rows.join(classes.drop("__n"), keys).select("representative", "member")
 
 
 def staged_matches(

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.network import reaches_another
+from ..functions.times import epoch_us
 from ..functions.values import logon_guid, logon_id
 from .joins import band_join, interval_candidates, resolved
 
@@ -61,16 +62,18 @@ def tier(same_account: Column, kind: Column) -> Column:
     return by_kind + F.when(same_account, 0).otherwise(3)
 
 
-def logon_chains(logons: DataFrame, sessions: DataFrame, explained: DataFrame) -> DataFrame:
+def logon_chains(logons: DataFrame, sessions: DataFrame, explained: DataFrame, bucket: int = 86_400_000_000) -> DataFrame:
     """(logon, session, state, tier, candidates, better): sessions a logon may come from.
 
     logons (logon, source_terminal, at, account), sessions (session, terminal,
-    started, ended, s_account, kind). Logons in explained (logon) have a session
+    started, ended, s_account, kind); a null end is an open session. Logons in explained (logon) have a session
     already. Of several candidates each is an uncertain chain, with how many
     are of a strictly better tier.
     """
     open_ = logons.join(explained, "logon", "left_anti")
-    inside = open_.join(sessions, F.col("source_terminal") == F.col("terminal")).where("at between started and ended")
+    points = open_.withColumnRenamed("source_terminal", "terminal").withColumn("__at", epoch_us(F.col("at")))
+    spans = sessions.withColumns({"__from": epoch_us(F.col("started")), "__to": epoch_us(F.col("ended"))})
+    inside = interval_candidates(points, spans, ["terminal"], "__at", "__from", "__to", bucket)
     by = Window.partitionBy("logon")
     graded = inside.withColumn("tier", tier(F.lower("account") == F.lower("s_account"), F.col("kind")))
     return graded.select(

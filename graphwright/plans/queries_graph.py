@@ -68,10 +68,10 @@ def node_summaries(spark, sf_dir):
     return aggregates.node_summaries(nodes, edges, "time")
 
 
-@query("""select least(a.p_partkey, b.p_partkey) as first, greatest(a.p_partkey, b.p_partkey) as second
-from part a join part b on a.p_brand = b.p_brand and a.p_type = b.p_type and a.p_size = b.p_size and a.p_partkey < b.p_partkey""")
+@query("""select min(p_partkey) over w as representative, p_partkey as member
+from part window w as (partition by p_brand, p_type, p_size) qualify count(*) over w > 1""")
 def content_matches(spark, sf_dir):
-    """Pairs of nodes with equal content."""
+    """Classes of nodes with equal content."""
     return joins.equal_content(table(spark, sf_dir, "part"), "p_partkey", ["p_brand", "p_type", "p_size"])
 
 

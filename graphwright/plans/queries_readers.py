@@ -55,7 +55,7 @@ with r as (select event_id as record, case when event_id % 7 = 0 then user_id en
    epoch_us(ts) // 1000000 as tm, event_type as source from events where event_type in ('view', 'error')),
 a as (select 'PC' || user_id % 30 || '.org' as host, epoch_us(ts) // 1000000 as s, epoch_us(ts) // 1000000 + 43200 as e, event_id % 3 as owner from events where event_type = 'signup'),
 h as (select record, count(distinct owner) as n, min(owner) as owner from r join a on lower(a.host) = lower(r.host) and tm between s and e where terminal is null group by 1),
-c as (select 'pc' || s_suppkey % 40 as short, count(distinct s_suppkey) as n, min('col' || s_suppkey) as collection from supplier where s_suppkey < 60 group by 1)
+c as (select 'pc' || (s_suppkey - s_suppkey % 3 % 2) as short, count(distinct s_suppkey) as n, min('col' || s_suppkey) as collection from supplier group by 1)
 select r.record, coalesce(cast(terminal as varchar), cast(h.owner as varchar), c.collection, source || '|' || host, source) as place,
   case when terminal is not null then 'own' when h.owner is not null then 'assignment' when c.collection is not null then 'collection' when host is not null then 'host_in_source' else 'source' end as basis
 from r left join h on h.record = r.record and h.n = 1 left join c on c.short = split_part(r.host, '.', 1) and c.n = 1""")
@@ -68,8 +68,9 @@ def record_placement(spark, sf_dir):
         F.when(F.col("event_id") % 11 != 0, host).alias("host"), at.alias("at"), F.col("event_type").alias("source"),
     )
     made = events.where("event_type = 'signup'").select(F.upper(host).alias("host"), at.alias("start_s"), (at + 43200).alias("end_s"), (F.col("event_id") % 3).alias("owner"))
-    owned = table(spark, sf_dir, "supplier").where("s_suppkey < 60").select(
-        F.concat(F.lit("PC"), (F.col("s_suppkey") % 40).cast("string"), F.lit(".x")).alias("host"), F.concat(F.lit("col"), F.col("s_suppkey").cast("string")).alias("collection")
+    number = F.col("s_suppkey") - F.col("s_suppkey") % 3 % 2
+    owned = table(spark, sf_dir, "supplier").select(
+        F.concat(F.lit("PC"), number.cast("string"), F.lit(".x")).alias("host"), F.concat(F.lit("col"), F.col("s_suppkey").cast("string")).alias("collection")
     )
     return placement.placed(rows, made, owned)
 

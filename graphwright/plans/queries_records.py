@@ -11,16 +11,19 @@ from ..sources import lines
 from .registry import query, table
 
 
-def event_fields() -> Column:
-    """The fields of an event as array<struct<name, value>>."""
+def event_columns() -> dict[str, tuple[Column, str]]:
+    """The fields of an event: columns by name."""
+    return {
+        "event.type": (F.col("event_type"), "string"),
+        "event.user": (F.col("user_id"), "bigint"),
+        "props.k": (F.get_json_object("props", "$.k"), "string"),
+    }
 
-    def field(name: str, value: Column) -> Column:
-        return F.struct(F.lit(name).alias("name"), value.alias("value"))
 
+def event_fields() -> Column:
+    """The fields of an event as array<struct<name, value>>."""
     return F.array(
-        field("event.type", F.col("event_type")),
-        field("event.user", F.col("user_id").cast("string")),
-        field("props.k", F.get_json_object("props", "$.k")),
+        *(F.struct(F.lit(n).alias("name"), c.cast("string").alias("value")) for n, (c, _) in event_columns().items())
     )
 
 
@@ -48,23 +51,50 @@ select event_id from events
 where (event_type like '%r%' or cast(json_extract_string(props, '$.k') as bigint) >= 90)
   and event_type <> 'purchase' and user_id <> 12""")
 def search_expression(spark, sf_dir):
-    """The search language over a record's fields."""
-    text = '(type contains "r" or k >= 90) not type == purchase and event.user != 12'
-    return table(spark, sf_dir, "events").where(search.search(text, event_fields())).select("event_id")
+    """Search terms over the columns of a record."""
+
+    def term(*of: str) -> Column:
+        return search.term(event_columns(), *of)
+
+    wanted = (term("type", "contains", "r") | term("k", ">=", "90")) & ~term("type", "==", "purchase") & term("event.user", "!=", "12")
+    return table(spark, sf_dir, "events").where(wanted).select("event_id")
+
+
+@query("""
+select event_id from events
+where (event_type like '%r%' or cast(json_extract_string(props, '$.k') as bigint) >= 90) and user_id <> 12 and
+  (contains(event_type, '7') or contains(cast(user_id as varchar), '7') or contains(json_extract_string(props, '$.k'), '7'))""")
+def search_own_fields(spark, sf_dir):
+    """Search terms over fields that each record has of its own."""
+    fields = event_fields()
+
+    def term(*of: str) -> Column:
+        return search.compare(fields, *of)
+
+    wanted = (term("type", "contains", "r") | term("k", ">=", "90")) & term("event.user", "!=", "12") & search.mentions(fields, "7")
+    return table(spark, sf_dir, "events").where(wanted).select("event_id")
 
 
 @query("""
 select l_orderkey, l_linenumber from lineitem where l_extendedprice > 50000.5 and l_discount <= 0.03""")
 def search_decimals(spark, sf_dir):
+    """Order of decimals on numeric columns; the filters reach the scan."""
+    lines = table(spark, sf_dir, "lineitem")
+    fields = search.named_fields(lines, l_extendedprice="line.price", l_discount="line.discount")
+    wanted = search.term(fields, "price", ">", "50000.5") & search.term(fields, "discount", "<=", "0.03")
+    return lines.where(wanted).select("l_orderkey", "l_linenumber")
+
+
+@query("""
+select l_orderkey, l_linenumber from lineitem where l_extendedprice > 50000.5 and l_discount <= 0.03""")
+def search_decimal_texts(spark, sf_dir):
     """Order of decimals as text, of any number of digits."""
-    fields = F.array(
-        *(
-            F.struct(F.lit(n).alias("name"), F.col(c).cast("decimal(20,4)").cast("string").alias("value"))
-            for n, c in (("price", "l_extendedprice"), ("discount", "l_discount"))
-        )
-    )
-    found = table(spark, sf_dir, "lineitem").where(search.search("price > 50000.5 and discount <= 0.03", fields))
-    return found.select("l_orderkey", "l_linenumber")
+    fields = {
+        n: (F.concat(F.lit("0" * 40), F.col(c).cast("decimal(20,4)").cast("string")), "string")
+        for n, c in (("price", "l_extendedprice"), ("discount", "l_discount"))
+    }
+    wanted = search.term(fields, "price", ">", "50000.5") & search.term(fields, "discount", "<=", "0.03")
+    return table(spark, sf_dir, "lineitem").where(wanted).select("l_orderkey", "l_linenumber")
 
 
 _IP = "concat_ws('.', {p} % 3 * 63 + 1, {p} % 250, {p} % 7, {p} % 256)"

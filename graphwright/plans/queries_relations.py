@@ -23,16 +23,16 @@ def _kind(spark, sf_dir, kind: str):
 
 @query(f"""
 with e as (select *, {_K} as k from events),
-a as (select event_id as logon, user_id % 4 as t, user_id % 3 as s, ts, k from e where event_type = 'signup' and user_id < 40),
-b as (select event_id as operation, user_id % 4 as t, user_id % 3 as s, ts, k from e where event_type = 'error' and user_id < 40)
+a as (select event_id as logon, event_id % 4 as t, event_id % 3 as s, ts, k * 16 + user_id % 15 as id from e where event_type = 'signup'),
+b as (select event_id as operation, event_id % 4 as t, event_id % 3 as s, ts, k * 16 + user_id % 15 as id from e where event_type = 'error')
 select logon, operation, case when a.t <> b.t then 'other_terminal' when a.s <> b.s then 'other_source' when b.ts < a.ts then 'before_logon' end as reason
-from a join b using (k)""")
+from a join b using (id)""")
 def logon_operations(spark, sf_dir):
     """Operations of a logon session, and why others are rejected."""
-    t, s = F.col("user_id") % 4, F.col("user_id") % 3
-    id_ = F.concat(F.lit("0x00"), F.hex("k"))
-    a = _kind(spark, sf_dir, "signup").where("user_id < 40").select(F.col("event_id").alias("logon"), t.alias("terminal"), s.alias("source"), F.col("ts").alias("at"), id_.alias("id"))
-    b = _kind(spark, sf_dir, "error").where("user_id < 40").select(F.col("event_id").alias("operation"), t.alias("o_terminal"), s.alias("o_source"), F.col("ts").alias("o_at"), id_.alias("id"))
+    t, s = F.col("event_id") % 4, F.col("event_id") % 3
+    id_ = F.concat(F.lit("0x00"), F.hex(F.col("k") * 16 + F.col("user_id") % 15))
+    a = _kind(spark, sf_dir, "signup").select(F.col("event_id").alias("logon"), t.alias("terminal"), s.alias("source"), F.col("ts").alias("at"), id_.alias("id"))
+    b = _kind(spark, sf_dir, "error").select(F.col("event_id").alias("operation"), t.alias("o_terminal"), s.alias("o_source"), F.col("ts").alias("o_at"), id_.alias("id"))
     return logons.session_operations(a, b)
 
 
@@ -93,11 +93,11 @@ def logon_chains(spark, sf_dir):
 
 
 @query(f"""
-with e as (select event_id, {_K} as k, user_id % 20 as ip, event_type as t, epoch_us(ts) // 1000000 as s from events where user_id < 60)
+with e as (select event_id, {_K} as k, user_id % 20 as ip, event_type as t, epoch_us(ts) // 1000000 as s from events)
 select a.event_id as first, b.event_id as second from e a join e b on a.ip = b.ip and a.k = b.k and a.t <> b.t and a.event_id < b.event_id and abs(a.s - b.s) <= 86400""")
 def same_connections(spark, sf_dir):
     """One connection as two terminals saw it."""
-    rows = _events(spark, sf_dir).where("user_id < 60").select(
+    rows = _events(spark, sf_dir).select(
         F.col("event_id").alias("record"), F.col("event_type").alias("terminal"), (F.col("user_id") % 20).alias("src_ip"), F.col("k").alias("src_port"), F.lit(445).alias("dst_port"), epoch_s(F.col("ts")).alias("at_s")
     )
     return logons.same_connections(rows, 86_400)

@@ -123,7 +123,9 @@ def process_identity(spark, sf_dir):
     spans = _events(spark, sf_dir, "error").select(
         "user_id", "event_id", F.col("ts").alias("from_ts"), F.timestamp_add("HOUR", F.lit(6), F.col("ts")).alias("to_ts")
     )
-    pairs = joins.overlapping(own, spans, ["user_id"], ("first_seen", "last_seen"), ("from_ts", "to_ts"))
+    own = own.select("user_id", "instance", epoch_us(F.col("first_seen")).alias("a"), epoch_us(F.col("last_seen")).alias("b"))
+    spans = spans.select("user_id", "event_id", epoch_us(F.col("from_ts")).alias("c"), epoch_us(F.col("to_ts")).alias("d"))
+    pairs = joins.overlapping(own, spans, ["user_id"], ("a", "b"), ("c", "d"), 86_400_000_000)
     return pairs.select("user_id", "instance", "event_id")
 
 
@@ -141,6 +143,19 @@ def visible_writes(spark, sf_dir):
     return joins.visible_writes(w, r, c, ["user_id"], "ts", "write_id", "read_id")
 
 
+@query("""
+with c as (select user_id, ts from events where event_type = 'signup'),
+e as (select user_id, ts, event_id, event_type from events where event_type in ('purchase', 'view'))
+select e.user_id, c.ts as version_start, case event_type when 'view' then 'read' else 'write' end as kind, event_id as id, e.ts
+from e asof left join c on c.user_id = e.user_id and c.ts <= e.ts""")
+def content_versions(spark, sf_dir):
+    """The version of a content that each write and read belongs to."""
+    w = _events(spark, sf_dir, "purchase").select("user_id", "ts", F.col("event_id").alias("write_id"))
+    r = _events(spark, sf_dir, "view").select("user_id", "ts", F.col("event_id").alias("read_id"))
+    c = _events(spark, sf_dir, "signup").select("user_id", "ts")
+    return joins.content_versions(w, r, c, ["user_id"], "ts", "write_id", "read_id")
+
+
 @query("""
 with o as (select event_id as oid, user_id as u, cast(json_extract_string(props, '$.k') as bigint) % 3 as c, ts from events where event_type = 'error'),
 p as (select event_id as pid, user_id as u, cast(json_extract_string(props, '$.k') as bigint) % 3 as c, ts,

@@ -11,11 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new path in the folder that the driver and all executors share.
 
-    The folder is what ``spark.checkpoint.dir`` names. Only where that is
-    unset, as in a local test, a temporary folder takes its place.
+    The folder is what ``spark.checkpoint.dir`` names. Only in a local session
+    that has none, as in a test, a temporary folder takes its place.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="graphwright-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

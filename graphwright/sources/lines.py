@@ -21,20 +21,43 @@ _ERROR = r"^\[([^\]]+)\] \[([^:\]]*):([^\]]+)\] \[pid (\d+)(?::tid (\d+))?\](?:
 TRIALS = {"access": _ACCESS, "error": _ERROR, "audit": r"\bmsg=audit\(\d+\.\d+:\d+\)"}
 
 
+#: Between the parts of a line while it is taken apart; a line that holds it fails.
+_CUT = "\x01\x02"
+
+
+def line_parts(line: Column, pattern: str, groups: int) -> Column:
+    """The groups of a pattern for a whole line, as an array of texts; null where it fails.
+
+    One pass of the expression over the line; groups that take no part are empty.
+    """
+    parts = F.split(F.regexp_replace(line, pattern, _CUT.join(f"${i}" for i in range(1, groups + 1))), _CUT)
+    return F.when(F.size(parts) == groups, parts)
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """(source, line) of text files; the order of lines is not kept across splits."""
     return spark.read.text(path).select(F.col("_metadata.file_path").alias("source"), F.col("value").alias("line"))
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(source, number, byte_offset, line) of whole files: for positions in a file."""
-    files = spark.read.format("binaryFile").load(path)
-    lines = files.select(
-        F.col("path").alias("source"), F.posexplode(F.split(F.decode("content", "UTF-8"), "\n")).alias("number", "line")
+    """(source, number, byte_offset, line) of text files of any size: for positions in a file.
+
+    Files are read in blocks. Lines are numbered within their block, and blocks
+    by the lines and bytes of those before them.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("source"), F.col("_metadata.file_block_start").alias("block"), "value", F.monotonically_increasing_id().alias("at")
+    )
+    size = F.octet_length("value") + 1
+    in_block = Window.partitionBy("source", "block").orderBy("at")
+    so_far = in_block.rowsBetween(Window.unboundedPreceding, -1)
+    own = lines.withColumns({"n": F.row_number().over(in_block), "b": F.coalesce(F.sum(size).over(so_far), F.lit(0))})
+    before = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = lines.groupBy("source", "block").agg(F.count("*").alias("n"), F.sum(size).alias("b"))
+    starts = blocks.select("source", "block", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in ("n", "b")))
+    return own.join(starts, ["source", "block"]).select(
+        "source", (F.col("n") + F.col("n_before")).alias("number"), (F.col("b") + F.col("b_before")).alias("byte_offset"), F.regexp_replace("value", "\r$", "").alias("line")
     )
-    w = Window.partitionBy("source").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum(F.octet_length("line") + 1).over(w), F.lit(0))
-    return lines.select("source", (F.col("number") + 1).alias("number"), before.alias("byte_offset"), F.regexp_replace("line", "\r$", "").alias("line"))
 
 
 def measured_files(spark: SparkSession, path: str) -> DataFrame:
@@ -62,11 +85,10 @@ def request_target(target: Column, method: Column) -> dict[str, Column]:
     CONNECT has host:port; error: targets and relative ones have no authority.
     User names before the last @ are left out, brackets of IPv6 hosts too.
     """
-    scheme = F.lower(F.regexp_extract(target, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1))
-    authority = F.when(method == "CONNECT", target).when(
-        scheme != "", F.regexp_extract(target, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)
-    )
-    place = F.regexp_replace(authority, "^.*@", "")
+    parts = F.split(F.regexp_replace(target, r"^(?:([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*))?.*$", f"$1{_CUT}$2"), _CUT)
+    scheme = F.lower(F.get(parts, F.lit(0)))
+    authority = F.when(method == "CONNECT", target).when(scheme != "", F.get(parts, F.lit(1)))
+    place = F.substring_index(authority, "@", -1)
     host = F.regexp_extract(place, r"^(\[[^\]]*\]|[^:]*)", 1)
     port = F.regexp_extract(place, r":(\d+)$", 1)
     bare = F.regexp_replace(host, r"^\[|\]$", "")
@@ -81,40 +103,41 @@ def request_target(target: Column, method: Column) -> dict[str, Column]:
 
 def access_records(lines: DataFrame, line: str = "line") -> DataFrame:
     """Columns of combined access-log lines, with the proxy's result codes if any."""
-    part = {k: F.regexp_extract(line, _ACCESS, i) for i, k in enumerate(
-        ("client", "ident", "user", "time", "request", "status", "size", "referer", "agent", "result", "hierarchy"), 1)}
-    ok = F.coalesce(F.col(line).rlike(_ACCESS), F.lit(False))
+    names = ("client", "ident", "user", "time", "request", "status", "size", "referer", "agent", "result", "hierarchy")
+    lines = lines.withColumn("__parts", line_parts(F.col(line), _ACCESS, len(names)))
+    part = {k: F.get("__parts", F.lit(i)) for i, k in enumerate(names)}
+    lines = lines.withColumn("instant", access_time(part["time"]))
     request = _unescaped(part["request"])
     words = F.split(request, " ")
     method, target = F.get(words, F.lit(0)), F.get(words, F.lit(1))
     out = lines.withColumns(
         {
-            "failed": ~ok | access_time(part["time"]).isNull(),
+            "failed": F.col("instant").isNull(),
             "client": _absent(part["client"]),
             "user": _absent(part["user"]),
-            "instant": access_time(part["time"]),
             "method": _absent(method),
             "target": target,
             "version": F.get(words, F.lit(2)),
             "status": F.try_to_number(part["status"], F.lit("999")).cast("int"),
             "size": F.when(part["size"].rlike(r"^\d+$"), part["size"].cast("long")),
-            "no_body": part["size"] == "-",
+            "no_body": F.coalesce(part["size"] == "-", F.lit(False)),
             "referer": _absent(_unescaped(part["referer"])),
             "agent": _absent(_unescaped(part["agent"])),
             "result": _absent(part["result"]),
             "hierarchy": _absent(part["hierarchy"]),
         }
     )
-    return out.withColumns(request_target(F.col("target"), F.col("method")))
+    return out.withColumns(request_target(F.col("target"), F.col("method"))).drop("__parts")
 
 
 def error_records(lines: DataFrame, line: str = "line") -> DataFrame:
     """Columns of server error-log lines; the time is local, without an offset."""
-    part = [F.regexp_extract(line, _ERROR, i) for i in range(1, 9)]
+    lines = lines.withColumn("__parts", line_parts(F.col(line), _ERROR, 8))
+    part = [F.get("__parts", F.lit(i)) for i in range(8)]
     local = F.try_to_timestamp(F.regexp_replace(part[0], "^[A-Za-z]{3} ", ""), F.lit("MMM dd HH:mm:ss.SSSSSS yyyy")).cast("timestamp_ntz")
     return lines.withColumns(
         {
-            "failed": ~F.coalesce(F.col(line).rlike(_ERROR), F.lit(False)) | local.isNull(),
+            "failed": local.isNull(),
             "local_time": local,
             "module": _absent(part[1]),
             "severity": _absent(part[2]),
@@ -123,7 +146,7 @@ def error_records(lines: DataFrame, line: str = "line") -> DataFrame:
             "client_port": F.when(part[6] != "", part[6].cast("int")),
             "message": part[7],
         }
-    )
+    ).drop("__parts")
 
 
 def key_values(text: Column) -> Column:
@@ -150,18 +173,22 @@ def audit_events(lines: DataFrame, number: str = "number", line: str = "line", d
     """(node, serial, event, instant, types, lines): audit records assembled from their lines.
 
     Lines of one event key belong together while they lie within ``distance``
-    lines of the event's first one; later ones open another event. The fold
-    runs over the lines of one key, which an event bounds.
+    lines of the event's first one; later ones open another event.
     """
     node = F.regexp_extract(line, r"^node=(\S+) ", 1)
     stamp = F.regexp_extract(line, r"msg=audit\(([^)]*)\)", 1)
     kind = F.regexp_extract(line, r"type=(\S+)", 1)
     read = lines.select(node.alias("node"), stamp.alias("serial"), kind.alias("type"), audit_time(F.col(line)).alias("instant"), F.col(number).cast("long").alias("number"))
+    # a gap wider than the distance always opens an event, so lists hold the lines between two such gaps
     by_key = Window.partitionBy("node", "serial").orderBy("number")
+    opens = F.coalesce(F.col("number") - F.lag("number").over(by_key) > distance, F.lit(True))
+    stretch = read.where("serial <> ''").withColumn("__opens", opens.cast("int"))
+    stretch = stretch.withColumn("__stretch", F.sum("__opens").over(by_key.rowsBetween(Window.unboundedPreceding, 0)))
     # the first line of the group that a line falls in, by a fold over the lines so far
-    so_far = F.collect_list("number").over(by_key.rowsBetween(Window.unboundedPreceding, 0))
+    in_stretch = Window.partitionBy("node", "serial", "__stretch").orderBy("number")
+    so_far = F.collect_list("number").over(in_stretch.rowsBetween(Window.unboundedPreceding, 0))
     first = F.aggregate(so_far, F.lit(-1).cast("long"), lambda f, n: F.when((f < 0) | (n - f > distance), n).otherwise(f))
-    grouped = read.where("serial <> ''").withColumn("event", first)
+    grouped = stretch.withColumn("event", first)
     return grouped.groupBy("node", "serial", "event").agg(
         F.min("instant").alias("instant"),
         F.transform(F.array_sort(F.collect_list(F.struct("number", "type"))), lambda x: x["type"]).alias("types"),

@@ -17,33 +17,57 @@ def one(spark, column, **row):
     return spark.createDataFrame([tuple(v for _, v in row.values()) or (1,)], schema).select(column.alias("c")).first().c
 
 
+PAIRS = [("name", "ab C"), ("size", "1" + "0" * 41), ("low", "-7.125"), ("at", "2024-05-01T10:00:00Z"), ("x.sub", "seq"), ("none", None)]
+
+
 @pytest.mark.parametrize(
-    ("expression", "hit"),
+    ("field", "op", "want", "hit"),
     [
-        ('name == "Ab c"', True),
-        ("name != other", True),
-        ("nothing != other", False),
-        ("size > 99999999999999999999999999999999999999999", True),
-        ("size < -5", False),
-        ("low < -5", True),
-        ("low < -7.2", False),
-        ("at > 2024-01-01T00:00:00Z", True),
-        ("at > 5", False),
-        ("b and not (name == x or size < 3)", True),
-        ("NAME.sub contains Q", False),
-        ("sub contains Q", True),
+        ("name", "==", "Ab c", True),
+        ("name", "!=", "other", True),
+        ("nothing", "!=", "other", False),
+        ("none", "!=", "other", True),
+        ("none", "<", "1", False),
+        ("size", ">", "9" * 41, True),
+        ("size", "<", "-5", False),
+        ("low", "<", "-5", True),
+        ("low", "<", "-7.2", False),
+        ("low", ">=", "-7.1250000000000000000000000001", True),
+        ("at", ">", "2024-01-01T00:00:00Z", True),
+        ("at", ">", "5", False),
+        ("NAME.sub", "contains", "Q", False),
+        ("sub", "contains", "Q", True),
     ],
 )
-def test_search(spark, expression, hit):
-    pairs = [("name", "ab C"), ("size", "1" + "0" * 41), ("low", "-7.125"), ("at", "2024-05-01T10:00:00Z"), ("x.sub", "seq"), ("none", None)]
-    fields = F.array(*(F.struct(F.lit(n).alias("name"), F.lit(v).cast("string").alias("value")) for n, v in pairs))
-    assert one(spark, search.search(expression, fields)) is hit
+def test_search(spark, field, op, want, hit):
+    own = F.array(*(F.struct(F.lit(n).alias("name"), F.lit(v).cast("string").alias("value")) for n, v in PAIRS))
+    columns = {n: (F.lit(v).cast("string"), "string") for n, v in PAIRS}
+    row = spark.range(1).select(search.compare(own, field, op, want).alias("a"), search.term(columns, field, op, want).alias("b")).first()
+    assert (row.a, row.b) == (hit, hit)
+
+
+def test_search_in_any_field(spark):
+    own = F.array(*(F.struct(F.lit(n).alias("name"), F.lit(v).cast("string").alias("value")) for n, v in PAIRS))
+    columns = {n: (F.lit(v).cast("string"), "string") for n, v in PAIRS}
+    for text, hit in (("B c", True), ("zz", False)):
+        row = spark.range(1).select(search.mentions(own, text).alias("a"), search.mentioned(columns, text).alias("b")).first()
+        assert (row.a, row.b) == (hit, hit)
+    assert one(spark, search.mentions(F.lit(None).cast("array<struct<name:string,value:string>>"), "b")) is False
 
 
-@pytest.mark.parametrize("bad", ["", "(a", "a ==", "and b", "a) b", "(" * 40 + "a" + ")" * 40])
-def test_search_errors(bad):
+def test_search_errors():
     with pytest.raises(search.SearchError):
-        search.search(bad, F.lit(None))
+        search.term({}, "a", "=", "b")
+    with pytest.raises(search.SearchError):
+        search.compare(F.lit(None), "a", "==", 5)
+
+
+def test_search_reaches_the_scan(spark, sf_dir, capsys):
+    lines_ = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    fields = search.named_fields(lines_, l_quantity="line.quantity")
+    lines_.where(search.term(fields, "quantity", ">", "45.5")).select("l_orderkey").explain()
+    plan = capsys.readouterr().out
+    assert "GreaterThan(l_quantity,45.5" in plan and "ReadSchema: struct<l_orderkey:bigint,l_quantity" in plan
 
 
 def test_values(spark):
@@ -98,6 +122,13 @@ def test_rules(spark):
         detect.compiled({"detection": {"a": {"x": 1}, "condition": "a and ("}}, ["x"])
     with pytest.raises(detect.RuleError):
         detect.compiled({"detection": {"a": {"x|base64": 1}, "condition": "a"}}, ["x"])
+    for bad in ("", "b", "a b", "a and", "1 of b*", "a == a", "a(a)", "not"):
+        with pytest.raises(detect.RuleError):
+            detect.condition(bad, {"a": F.lit(True)})
+    true, false = F.lit(True), F.lit(False)
+    some = {"sel-1": true, "sel-2": false, "_own": false, "x": true}
+    for text, hit in (("1 of sel-*", True), ("all of sel-*", False), ("all of them", False), ("not (sel-2 or _own) AND x", True), ("not x or sel-1", True), ("1 of _*", False)):
+        assert one(spark, detect.condition(text, some)) is hit
     rule = {"detection": {"a": {"x|windash|contains": " -enc"}, "b": {"x|re|i": "SHELL"}, "condition": "all of them"}}
     row = spark.createDataFrame([("powershell /enc",), ("shell -run",), (None,)], "x string")
     assert [r.c for r in row.select(detect.compiled(rule, ["x"]).alias("c")).collect()] == [True, False, False]
