@@ -188,3 +188,35 @@ def test_grades_odd(odd, empty, spark):
     assert {(r.doc_id, r.grade) for r in ordinal.grade_of_labels(labels).collect()} == {(1, 2), (5, 0), (8, 1), (9, None)}
     model = ordinal.fit(odd, ordinal.grade_of_labels(labels))
     assert ordinal.grade(odd, model).count() == odd.count()
+
+
+@pytest.fixture(scope="module")
+def labelled(spark):
+    folder = "/root/testdata/sf0.1"
+    return spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+
+
+def test_rules_decide_as_written(labelled):
+    """kept of each document, by the learned rules in plain Python."""
+    docs, labels = labelled
+    out, rules = quality.quality_rules(docs, labels)
+    kept = {r.doc_id: (r.kept, r.base_failed) for r in out.collect()}
+    assert rules
+    for r in quality.with_features(quality.statistics(docs)).collect():
+        failed = r.n_words < 20 or 100 * r.n_repeat_words > 30 * r.n_words
+        low = any(
+            all(r[c.feature] is not None and ((r[c.feature] > c.threshold) == c.above) for c in rule.conditions) for rule in rules
+        )
+        assert kept[r.doc_id] == (not failed and not low, failed)
+
+
+def test_grades_of_labels_held_out(labelled):
+    """Fitted on one half of the labels, the other half is told apart."""
+    docs, labels = labelled
+    grades = ordinal.grade_of_labels(labels)
+    model = ordinal.fit(docs.where("doc_id % 2 = 0"), grades.where("doc_id % 2 = 0"))
+    said = {r.doc_id: r.p_tail >= 0.5 for r in ordinal.grade(docs.select("doc_id", "text"), model).collect()}
+    own = [r for r in labels.collect() if r.doc_id % 2 and r.doc_id in said]
+    good = [said[r.doc_id] for r in own if r.quality == 1 and not r.toxic]
+    low = [not said[r.doc_id] for r in own if r.quality == 0]
+    assert sum(good) >= 0.95 * len(good) and sum(low) >= 0.9 * len(low)

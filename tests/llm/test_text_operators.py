@@ -337,6 +337,32 @@ def test_mix(which, request):
     assert Counter(map(tuple, got)) == Counter(map(tuple, mixing.mix(docs.repartition(3)).collect()))
 
 
+def test_mix_takes_the_least_hashes(documents):
+    """What each source takes, worked out by sorting its documents by hash."""
+    rows = mixing.measured(documents).collect()
+    sizes = Counter()
+    for r in rows:
+        sizes[r.source] += r["size"]
+    goal, want = mixing.targets(dict(sizes)), Counter()
+    for s, total in sizes.items():
+        passes = min(int(goal[s] // total), 2)
+        left, once, below = round(goal[s] - passes * total), set(), 0
+        words = Counter()
+        for r in rows:
+            if r.source == s:
+                words[r.h] += r["size"]
+        for h in sorted(words):
+            if below + words[h] <= left or 2 * (left - below) >= words[h] > left - below:
+                once.add(h)
+            below += words[h]
+            if below > left:
+                break
+        for r in rows:
+            if r.source == s:
+                want[r.doc_id, r["size"], r["size"] * min(passes + (r.h in once), 2)] += 1
+    assert Counter((r.doc_id, r["size"], r.taken) for r in mixing.mix(documents).collect()) == want
+
+
 def test_mix_is_nested(documents):
     sized = mixing.measured(documents)
     sources = {r.source for r in sized.collect()}
