@@ -11,10 +11,10 @@ from __future__ import annotations
 
 from fractions import Fraction
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, written
+from .common import WORD, dropped, written
 
 #: Bits of the hash that one histogram resolves.
 STEP = 12
@@ -49,18 +49,6 @@ def targets(
     return {s: float(out[s]) for s in order}
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size, h): words of each row and its place on the hash line."""
-    text = F.col("text").cast("string")
-    return docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.col("source").cast("string").alias("source"),
-        F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        # 60 bits, so that all arithmetic on them stays within a long
-        F.shiftrightunsigned(F.xxhash64("doc_id", text), 4).alias("h"),
-    )
-
-
 def _by_source(spark, rows: list[tuple], schema: str) -> DataFrame:
     table = spark.createDataFrame(rows, schema)
     return F.broadcast(table) if len(rows) <= BROADCAST_SOURCES else table
@@ -112,6 +100,41 @@ def thresholds(sized: DataFrame, budgets: dict[str | None, int]) -> dict[str | N
     return done
 
 
+def _measures(docs: DataFrame) -> list[Column]:
+    """The source, size and place on the hash line of each row of docs."""
+    text = F.col("text").cast("string")
+    return [
+        F.col("source").cast("string").alias("source"),
+        F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        # 60 bits, so that all arithmetic on them stays within a long
+        F.shiftrightunsigned(F.xxhash64("doc_id", text), 4).alias("h"),
+    ]
+
+
+def measured(docs: DataFrame) -> DataFrame:
+    """(doc_id, source, size, h): words of each row and its place on the hash line."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_measures(docs))
+
+
+def _decisions(sized: DataFrame, weights: tuple[int, ...], share: float, most: int) -> DataFrame:
+    """(s, source_size, target, passes, below): what the mix takes of each source of measured rows."""
+    totals = {r.source: r.words for r in sized.groupBy("source").agg(F.sum("size").alias("words")).collect()}
+    goal = targets(totals, weights, share, most)
+    passes = {s: min(int(goal[s] // n), most) if n else 0 for s, n in totals.items()}
+    limit = thresholds(sized, {s: round(goal[s] - passes[s] * n) for s, n in totals.items()})
+    return _by_source(
+        sized.sparkSession,
+        [(s, totals[s], goal[s], passes[s], limit[s]) for s in totals],
+        "s string, source_size long, target double, passes int, below long",
+    )
+
+
+def _times(most: int) -> Column:
+    """How often the mix takes a row."""
+    once_more = (F.col("h") < F.col("below")).cast("int")
+    return F.least(F.col("passes") + once_more, F.lit(most))
+
+
 def mix(
     docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2
 ) -> DataFrame:
@@ -124,37 +147,28 @@ def mix(
     taken together. An empty table gives no rows. The result is a function of
     the rows alone, whatever their order or partitions.
     """
-    spark = docs.sparkSession
     sized = written(measured(docs), "sizes")
-    totals = {r.source: r.words for r in sized.groupBy("source").agg(F.sum("size").alias("words")).collect()}
-    goal = targets(totals, weights, share, most)
-    passes = {s: min(int(goal[s] // n), most) if n else 0 for s, n in totals.items()}
-    left = {s: round(goal[s] - passes[s] * n) for s, n in totals.items()}
-    limit = thresholds(sized, left)
-    if not totals:
-        table = spark.createDataFrame([], "s string, source_size long, target double, passes int, below long")
-    else:
-        table = _by_source(
-            spark,
-            [(s, totals[s], goal[s], passes[s], limit[s]) for s in totals],
-            "s string, source_size long, target double, passes int, below long",
-        )
-    once_more = (F.col("h") < F.col("below")).cast("int")
+    table = _decisions(sized, weights, share, most)
     return sized.join(table, F.col("source").eqNullSafe(F.col("s"))).select(
-        "doc_id",
-        "size",
-        "source_size",
-        "target",
-        (F.col("size") * F.least(F.col("passes") + once_more, F.lit(most))).cast("long").alias("taken"),
+        "doc_id", "size", "source_size", "target", (F.col("size") * _times(most)).cast("long").alias("taken")
     )
 
 
-def mixed_documents(docs: DataFrame, **how) -> DataFrame:
-    """The rows of docs that the mix takes, each as often as it takes it."""
-    taken = mix(docs, **how).where("taken > 0").groupBy(F.col("doc_id").alias("id")).agg(
-        F.max((F.col("taken") / F.col("size")).cast("int")).alias("times")
-    )
+def mixed_documents(
+    docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2
+) -> DataFrame:
+    """The rows of docs that the mix takes, each as often as it takes it.
+
+    Each row is decided by its own hash and its source's threshold, as in
+    ``mix``, so rows that share a doc_id, or have none, are as many words here as
+    there. Rows repeated as a whole are taken together. A row without a word adds
+    nothing to the mix and is not taken. An empty table gives no rows.
+    """
+    sized = written(measured(docs), "sizes")
+    table = _decisions(sized, weights, share, most)
     # the row as one column, so that no name of docs can clash
-    rows = docs.select(F.col("doc_id").cast("long").alias("own"), F.struct(*docs.columns).alias("row"))
-    joined = rows.join(taken, F.col("own").eqNullSafe(F.col("id")))
-    return joined.select("row", F.explode(F.sequence(F.lit(1), "times"))).select("row.*")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), *_measures(docs)).where("size > 0")
+    taken = rows.join(table, F.col("source").eqNullSafe(F.col("s"))).withColumn("times", _times(most)).where("times > 0")
+    out = taken.select("row", F.explode(F.sequence(F.lit(1), "times"))).select("row.*")
+    dropped(sized)
+    return out
