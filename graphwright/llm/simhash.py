@@ -16,7 +16,7 @@ Near-duplicates of a lower similarity differ in more bits than a trie can bear
 as a budget. ``deduplicated`` therefore takes several short fingerprints of each
 text, joins the tries of each, and keeps the pairs that are near in all bits
 together; the closest of them, a least spanning forest, are compared by their
-shingles.
+shingles, and the next ones where some of these fail.
 """
 
 from __future__ import annotations
@@ -265,9 +265,9 @@ def simhash_components(docs: DataFrame, n: int = 4, bits: int = 4) -> DataFrame:
 
 
 #: Short fingerprints of a text, their bits and the bits in which a pair may differ in one.
-SHORT, SHORT_BITS, SHORT_BUDGET = 6, 32, 3
+SHORT, SHORT_BITS, SHORT_BUDGET = 10, 32, 3
 #: Standard deviations by which the bits of a similar pair may be off.
-OFF = 1.6
+OFF = 2.3
 #: Random odd numbers that make the words of a wide fingerprint from one hash.
 _SPREAD = np.random.default_rng(20240607).integers(0, 1 << 63, SHORT * SHORT_BITS // 64, np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -311,8 +311,25 @@ def forest(n: int, i: np.ndarray, j: np.ndarray, length: np.ndarray) -> np.ndarr
         root = merged(root, i[pick], j[pick])
 
 
-def _nearest_links(most: int):
-    """Links (a, b) by class id of rows (cid, fp, wide) within ``most`` of all bits."""
+def _chosen(n: int, i: np.ndarray, j: np.ndarray, length: np.ndarray, forests: int) -> tuple[np.ndarray, np.ndarray]:
+    """The edges of so many disjoint spanning forests of n nodes, least lengths first, and those that are left."""
+    left, chosen = np.arange(len(i)), [np.zeros(0, np.int64)]
+    for _ in range(forests):
+        if not len(left):
+            break
+        keep = forest(n, i[left], j[left], length[left])
+        chosen.append(left[keep])
+        left = np.delete(left, keep)
+    return np.concatenate(chosen), left
+
+
+def _nearest_links(most: int, forests: int):
+    """Links (a, b) by class id of rows (cid, fp, wide, label) within ``most`` of all bits.
+
+    Only pairs of different labels count. Each group gives so many disjoint
+    spanning forests over its labels, and a row (a, a) for each end of a pair
+    that is in none of them.
+    """
 
     def linked(rows: DataFrame, keys: list[str], budget: int) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -326,19 +343,28 @@ def _nearest_links(most: int):
                 group = np.cumsum(change)
                 order = np.lexsort((fp, group))
                 wide, cid = wide[order], cid[order]
-                held = [np.zeros(0, np.int64)] * 3
+                _, label = np.unique(table["label"].to_numpy()[order], return_inverse=True)
+                held, passed = [np.zeros(0, np.int64)] * 3, np.zeros(len(cid), bool)
                 count = 0
+
+                def reduced(held, label=label, passed=passed):
+                    keep, left = _chosen(len(label), label[held[0]], label[held[1]], held[2], forests)
+                    passed[held[0][left]] = passed[held[1][left]] = True
+                    return [x[keep] for x in held]
+
                 for i, j in trie_pairs(group[order], fp[order], budget, SHORT_BITS - 1):
+                    other = label[i] != label[j]
+                    i, j = i[other], j[other]
                     differ = np.bitwise_count(wide[i] ^ wide[j]).sum(1, dtype=np.int64)
-                    near = (differ <= most) & (cid[i] != cid[j])
+                    near = differ <= most
                     held = [np.r_[x, y[near]] for x, y in zip(held, (i, j, differ), strict=True)]
                     if len(held[0]) > count + 1_000_000:
-                        keep = forest(len(cid), *held)
-                        held = [x[keep] for x in held]
-                        count = len(keep)
-                keep = forest(len(cid), *held)
+                        held = reduced(held)
+                        count = len(held[0])
+                held = reduced(held)
+                again = np.unique(cid[passed])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(cid[held[0][keep]]), pa.array(cid[held[1][keep]])], ["a", "b"]
+                    [pa.array(np.r_[cid[held[0]], again]), pa.array(np.r_[cid[held[1]], again])], ["a", "b"]
                 )
 
         return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
@@ -346,14 +372,20 @@ def _nearest_links(most: int):
     return linked
 
 
-def _similar(edges: DataFrame, texts: DataFrame, n: int, similarity: float) -> DataFrame:
-    """The edges (a, b) whose texts (cid, text) share that part of their distinct shingles."""
+def _shingle_sets(texts: DataFrame, n: int) -> DataFrame:
+    """(cid, shingles) of rows (cid, text)."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [shingle_set(t.as_py(), n).tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["cid", "shingles"])
 
+    return texts.mapInArrow(sets, "cid long, shingles binary")
+
+
+def _similar(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The edges (a, b) whose sets (cid, shingles) share that part of their distinct shingles."""
+
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -363,12 +395,43 @@ def _similar(edges: DataFrame, texts: DataFrame, n: int, similarity: float) -> D
                 keep.append(both >= similarity * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    held = written(texts.mapInArrow(sets, "cid long, shingles binary"), "shingles")
-    one = held.select(F.col("cid").alias("a"), F.col("shingles").alias("x"))
-    two = held.select(F.col("cid").alias("b"), F.col("shingles").alias("y"))
+    one = sets.select(F.col("cid").alias("a"), F.col("shingles").alias("x"))
+    two = sets.select(F.col("cid").alias("b"), F.col("shingles").alias("y"))
     return edges.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(alike, "a long, b long")
 
 
+def _verified_groups(dealt: DataFrame, sets_of, most: int, group: int, similarity: float) -> DataFrame:
+    """(node, component) of rows (cid, wide, t, fp) linked by similar texts.
+
+    A round takes a forest of the nearest pairs of each group and checks them by
+    their shingles. Where a pair was left out of the forests and its ends are
+    still apart, the next round takes four times as many forests over what the
+    checked links join, until no pair is left out: a pair that fails hides none
+    that would hold.
+    """
+    rows, forests, links_found, sets = dealt.withColumn("label", F.col("cid")), 1, None, None
+    while True:
+        found = written(
+            links(rows, SHORT_BUDGET, group, LEVELS, SHORT_BITS, ("t",), _nearest_links(most, forests))
+            .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+            .distinct(),
+            "near-pairs",
+        )
+        edges = found.where("a <> b")
+        if sets is None:  # every row with a near pair is in a forest of the first round
+            sets = written(sets_of(edges.select(F.col("a").alias("cid")).union(edges.select("b")).distinct()), "shingles")
+        similar = written(_similar(edges, sets, similarity), "similar")
+        links_found = similar if links_found is None else links_found.union(similar)
+        again = found.where("a = b").select(F.col("a").alias("cid"))
+        groups = written(components(links_found), "groups")
+        if again.isEmpty():
+            return groups
+        label = F.coalesce("component", "cid").alias("label")
+        asked = dealt.join(again, "cid", "left_semi").join(groups, F.col("cid") == F.col("node"), "left")
+        rows = written(asked.select(*dealt.columns, label), "apart")
+        forests *= 4
+
+
 def bits_of(similarity: float, bits: int = SHORT * SHORT_BITS) -> int:
     """Differing bits that a pair of this Jaccard similarity may have."""
     share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
@@ -379,8 +442,9 @@ def deduplicated(docs: DataFrame, n: int = 5, similarity: float = 0.8, group: in
     """The rows of docs (doc_id, text and others) without near-duplicates of others.
 
     Two texts link when the Jaccard similarity of their sets of word n-grams is
-    ``similarity`` or more and their fingerprints show it (see the README for
-    the recall); equal texts always do, and all texts without a word. Of each
+    ``similarity`` or more and their fingerprints show it, as those of 94 of 100
+    random pairs at 0.80 and of 99 at 0.85 do; equal texts always do, and all
+    texts without a word. Each link that joins two groups is checked exactly. Of each
     group of texts linked directly or by others one row stays: that of the
     least doc_id, nulls last, then the least other values. A unique text stays,
     also with a null doc_id or with one that other rows have. An empty table
@@ -412,12 +476,12 @@ def deduplicated(docs: DataFrame, n: int = 5, similarity: float = 0.8, group: in
         lambda t: F.conv(F.substring(word, t * (SHORT_BITS // 4) + 1, F.lit(SHORT_BITS // 4)), 16, 10).cast("long"),
     )
     dealt = classes.where("class <> ''").select("cid", "wide", F.posexplode(shorts).alias("t", "fp"))
-    edges = links(dealt, SHORT_BUDGET, group, LEVELS, SHORT_BITS, ("t",), _nearest_links(bits_of(similarity, SHORT * SHORT_BITS)))
-    edges = written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-pairs")
-    wanted = edges.select(F.col("a").alias("cid")).union(edges.select("b")).distinct()
-    asked = classes.join(wanted, "cid").select("cid", F.col("class").alias("__digest"))
-    texts = rows.join(asked, "__digest").groupBy("cid").agg(F.first("text").alias("text"))
-    groups = components(_similar(edges, texts, n, similarity))
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        asked = classes.join(wanted, "cid").select("cid", F.col("class").alias("__digest"))
+        return _shingle_sets(rows.join(asked, "__digest").groupBy("cid").agg(F.first("text").alias("text")), n)
+
+    groups = _verified_groups(dealt, sets_of, bits_of(similarity), group, similarity)
     least = (
         classes.join(groups, F.col("cid") == F.col("node"), "left")
         .groupBy(F.coalesce("component", "cid").alias("label"))
