@@ -131,25 +131,25 @@ def first_arrivals(contacts: DataFrame, origin, start) -> DataFrame:
     seed = spark.range(1).select(
         F.lit(origin).cast(kind["src"]).alias("node"), F.lit(start).cast(kind["arrive"]).alias("arrival"), F.lit(0).alias("hops")
     )
-    first = F.min(F.struct("arrival", "hops")).alias("first")
-    best, before = written(seed, "arrivals"), None
+    best, turn = written(seed.withColumn("turn", F.lit(0)), "arrivals"), 0
     while True:
+        # only nodes that the last round changed are gone on from
+        front = best.where(F.col("turn") == turn)
+        turn += 1
         steps = (
-            contacts.join(best, contacts.src == best.node)
+            contacts.join(front, contacts.src == front.node)
             .where("depart >= arrival")
             .groupBy(F.col("dst").alias("node"))
             .agg(F.min(F.struct(F.col("arrive").alias("arrival"), (F.col("hops") + 1).alias("hops"))).alias("first"))
-            .select("node", "first.*")
+            .select("node", "first.*", F.lit(turn).alias("turn"))
         )
-        new = written(best.union(steps).groupBy("node").agg(first).select("node", "first.*"), "arrivals")
+        # of equal arrivals the older one stays, so a node is in front only if it changed
+        least = best.union(steps).groupBy("node").agg(F.min(F.struct("arrival", "hops", "turn")).alias("first"))
+        new = written(least.select("node", "first.*"), "arrivals")
         dropped(best)
         best = new
-        # nodes only come, arrivals only fall, and steps with them, so the sums stay only if all do
-        after = tuple(best.agg(F.count("*"), F.sum(F.col("arrival").cast("decimal(38,0)")), F.sum("hops")).first())
-        if after == before:
-            break
-        before = after
-    return best
+        if best.where(F.col("turn") == turn).isEmpty():
+            return best.drop("turn")
 
 
 def earliest_route(contacts: DataFrame, origin, target, start, end) -> list:
@@ -175,23 +175,39 @@ def earliest_route(contacts: DataFrame, origin, target, start, end) -> list:
     return route[::-1]
 
 
-def separated(contacts: DataFrame, sends: DataFrame, receives: DataFrame) -> DataFrame:
+def separated(contacts: DataFrame, sends: DataFrame, receives: DataFrame, origin, target) -> DataFrame:
     """Contacts in which alternative matches of one record are no way from one to another.
 
     sends (contact, record, candidate): contacts from a candidate to a record;
     receives (contact): those from a record back to a candidate. A record of
     two or more candidates gets a vertex of its own for each, record#candidate,
     which a candidate's contacts enter and from which the record's others leave.
+    The records origin and target stay whole: the target only loses its contacts
+    back to candidates, and the origin those that its candidates send to it.
     """
-    many = sends.groupBy("record").agg(F.count_distinct("candidate").alias("__n")).where("__n > 1").select("record")
-    split = sends.join(many, "record", "left_semi").select("contact", "record", F.col("candidate").cast("string").alias("candidate"))
-    name = F.concat_ws("#", F.col("record").cast("string"), "candidate")
-    entered = contacts.join(split.select("contact", name.alias("__to")), "contact", "left")
-    entered = entered.withColumns({"src": F.col("src").cast("string"), "dst": F.coalesce("__to", F.col("dst").cast("string"))}).drop("__to")
-    onward = contacts.join(receives.select("contact").distinct(), "contact", "left_anti")
+    name = F.concat_ws("#", F.col("record").cast("string"), F.col("candidate").cast("string"))
+    own = sends.select("contact", F.col("record").cast("string").alias("record"), F.col("candidate").cast("string").alias("candidate"))
+    many = own.groupBy("record").agg(F.count_distinct("candidate").alias("__n")).where("__n > 1").select("record")
+    many = written(many, "records")
+    ends = [F.lit(str(end)) for end in (origin, target)]
+    split = own.join(many.where(~F.col("record").isin(*ends)), "record", "left_semi")
+    plain = contacts.withColumns({"src": F.col("src").cast("string"), "dst": F.col("dst").cast("string")})
+    back = receives.select("contact").distinct().withColumn("__back", F.lit(True))
+    # the ends are two values, so these are no joins of tables
+    to_origin = own.where(F.col("record") == ends[0]).join(many, "record", "left_semi").select("contact").distinct()
+    target_split = many.where(F.col("record") == ends[1]).select(F.col("record").alias("src"), F.lit(True).alias("__target"))
+    known = (
+        plain.join(back, "contact", "left")
+        .join(target_split, "src", "left")
+        .where("__back is null or __target is null")
+        .drop("__target")
+        .join(to_origin, "contact", "left_anti")
+    )
+    entered = known.join(split.select("contact", name.alias("__to")), "contact", "left")
+    entered = entered.withColumn("dst", F.coalesce("__to", "dst")).select(*contacts.columns)
     doors = split.select("record", "candidate").distinct()
-    copies = onward.join(doors, onward.src == doors.record).withColumns({"src": name, "dst": F.col("dst").cast("string")})
-    return entered.unionByName(copies.select(*entered.columns))
+    copies = known.where("__back is null").join(doors, F.col("src") == F.col("record")).withColumn("src", name)
+    return entered.unionByName(copies.select(*contacts.columns))
 
 
 def latest_departures(contacts: DataFrame, target, end) -> DataFrame:

@@ -90,18 +90,30 @@ def record_elements(spark, sf_dir):
 
 
 @query(f"""
-with c as (select event_id as contact, user_id % 50 as s, {_K} % 50 as d, epoch_us(ts) // 1000000 as t, event_id % 5 = 0 as sent from events where user_id % 50 <> {_K} % 50),
-snd as (select contact, d as record, s as candidate from c where sent), many as (select record from snd group by 1 having count(distinct candidate) > 1),
-sp as (select * from snd where record in (select record from many)), door as (select distinct record, candidate from sp)
-select contact, cast(s as varchar) as src, case when contact in (select contact from sp) then d || '#' || s else cast(d as varchar) end as dst, t as depart from c
-union all select contact, record || '#' || candidate, cast(d as varchar), t from c join door on record = s where contact % 7 <> 0""")
+with c as (
+  select event_id as contact, user_id % 50 as s, {_K} % 50 as d, epoch_us(ts) // 1000000 as t,
+         event_id % 5 = 0 as sent, event_id % 7 = 0 as received
+  from events where user_id % 50 <> {_K} % 50),
+snd as (select contact, d as record, s as candidate from c where sent),
+many as (select record from snd group by 1 having count(distinct candidate) > 1),
+sp as (select * from snd where record in (select record from many) and record not in (3, 17)),
+door as (select distinct record, candidate from sp),
+kept as (
+  select * from c
+  where not (received and s = 17 and s in (select record from many))
+    and not (sent and d = 3 and d in (select record from many)))
+select contact, cast(s as varchar) as src,
+       case when contact in (select contact from sp) then d || '#' || s else cast(d as varchar) end as dst, t as depart
+from kept
+union all
+select contact, record || '#' || candidate, cast(d as varchar), t from kept join door on record = s where not received""")
 def separated_candidates(spark, sf_dir):
-    """Contacts in which alternative matches of a record lead not to one another."""
+    """Contacts in which alternative matches of a record lead not to one another, from 3 to 17."""
     src, dst = F.col("user_id") % 50, _k() % 50
     rows = table(spark, sf_dir, "events").where(src != dst)
     contacts = rows.select(F.col("event_id").alias("contact"), src.alias("src"), dst.alias("dst"), epoch_s(F.col("ts")).alias("depart"))
     sends = contacts.where("contact % 5 = 0").select("contact", F.col("dst").alias("record"), F.col("src").alias("candidate"))
-    return graph.separated(contacts, sends, contacts.where("contact % 7 = 0").select("contact"))
+    return graph.separated(contacts, sends, contacts.where("contact % 7 = 0").select("contact"), 3, 17)
 
 
 @query()
