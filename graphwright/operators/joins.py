@@ -1,9 +1,9 @@
 """Time joins: latest-before, two-sided, band, interval and phased pairs.
 
-None of them pairs all rows of a key. As-of joins are one union and one window
-per key; band and interval joins add a time bucket to the equality keys, so a
-key with many rows is dealt out by time, and the bucket is the width of the
-band, so a row meets two buckets at most.
+None of them pairs all rows of a key. As-of joins are one union and a window per
+key and block of time; band and interval joins add a time bucket to the equality
+keys. So a key with many rows is dealt out by time; the bucket of a band is its
+width, so a row meets two buckets at most.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.times import epoch_us
+from .blocks import block_of, carried
 
 
 def asof_latest(
@@ -29,9 +31,9 @@ def asof_latest(
         allowMissingColumns=True,
     )
     # at equal times right rows come first, so that they count
-    w = Window.partitionBy(*keys).orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, 0)
-    at = F.last(F.when(F.col("__side") == 0, F.col("__t")), ignorenulls=True).over(w)
-    found = both.withColumn("__at", at).where("__side = 1 and __at is not null and __t is not null")
+    known = F.when(F.col("__side") == 0, F.col("__t"))
+    found = carried(both, keys, ["__t", "__side"], known, block_of(both, "__t"), "__at")
+    found = found.where("__side = 1 and __at is not null and __t is not null")
     latest = right.select(*keys, F.col(right_time).alias("__at"), F.struct(*rs).alias("__r"))
     return found.select(*keys, "__at", "__l").join(latest, [*keys, "__at"]).select("__l.*", *(f"__r.{c}" for c in rs))
 
@@ -43,17 +45,16 @@ def asof_agreeing(
 
     With one side only, its value counts. The columns of left are followed by value.
     """
-    both = left.select(*keys, F.col(left_time).alias("__t"), F.lit(1).alias("__side"), F.struct(*left.columns).alias("__l"), F.lit(None).cast(dict(right.dtypes)[value]).alias("__v")).unionByName(
-        right.select(*keys, F.col(right_time).alias("__t"), F.lit(0).alias("__side"), F.col(value).alias("__v")),
-        allowMissingColumns=True,
+    # of several values at one time the greatest counts as before and the least as after
+    times = right.groupBy(*keys, F.col(right_time).alias("__t")).agg(F.min(value).alias("__least"), F.max(value).alias("__most"))
+    both = left.select(*keys, F.col(left_time).alias("__t"), F.lit(1).alias("__side"), F.struct(*left.columns).alias("__l")).unionByName(
+        times.withColumn("__side", F.lit(0)), allowMissingColumns=True
     )
-    known = F.when(F.col("__side") == 0, F.col("__v"))
-    w = Window.partitionBy(*keys)
-    before = w.orderBy("__t", "__side", "__v").rowsBetween(Window.unboundedPreceding, 0)
-    after = w.orderBy(F.col("__t"), F.col("__side").desc(), "__v").rowsBetween(0, Window.unboundedFollowing)
-    out = both.withColumns(
-        {"__b": F.last(known, ignorenulls=True).over(before), "__a": F.first(known, ignorenulls=True).over(after)}
-    ).where("__side = 1")
+    block, numeric = block_of(both, "__t"), not dict(both.dtypes)["__t"].startswith(("timestamp", "date"))
+    # backwards in time: the order and the blocks are negated
+    both = both.withColumn("__u", -F.col("__t") if numeric else -epoch_us(F.col("__t")))
+    before = carried(both, keys, ["__t", "__side"], F.col("__most"), block, "__b")
+    out = carried(before, keys, ["__u", "__side"], F.col("__least"), -block, "__a").where("__side = 1")
     agreed = F.coalesce("__b", "__a")
     same = F.col("__b").isNull() | F.col("__a").isNull() | (F.col("__b") == F.col("__a"))
     return out.where(agreed.isNotNull() & same).select("__l.*", agreed.alias(value))
@@ -186,9 +187,9 @@ def version_starts(
     both = reads.select(*keys, F.col(read_time).alias("__t"), F.lit(1).alias("__side"), F.struct(*reads.columns).alias("__l")).unionByName(
         replacements.select(*keys, F.col(replaced_time).alias("__t"), F.lit(0).alias("__side")), allowMissingColumns=True
     )
-    w = Window.partitionBy(*keys).orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, 0)
-    at = F.max(F.when(F.col("__side") == 0, F.col("__t"))).over(w)
-    return both.withColumn("version_start", at).where("__side = 1").select("__l.*", "version_start")
+    known = F.when(F.col("__side") == 0, F.col("__t"))
+    out = carried(both, keys, ["__t", "__side"], known, block_of(both, "__t"), "version_start")
+    return out.where("__side = 1").select("__l.*", "version_start")
 
 
 def visible_writes(

@@ -8,24 +8,41 @@ from pyspark.sql import functions as F
 from ..functions.network import reaches_another
 from ..functions.times import epoch_us
 from ..functions.values import logon_guid, logon_id
-from .joins import band_join, interval_candidates, resolved
+from ..plans.storage import written
+from .joins import band_join, interval_candidates, phased_pairs, resolved
 
 
 def session_operations(logons: DataFrame, operations: DataFrame) -> DataFrame:
-    """(logon, operation, reason): operations by logon id, and why others are not of it.
+    """(operation, logon, reason, logons): operations of a logon session, and counts of logons that are not theirs.
 
     logons (logon, terminal, source, at, id), operations (operation, o_terminal,
-    o_source, o_at, id). A null reason is a relation; the others are rejections:
-    other_terminal, other_source, before_logon.
+    o_source, o_at, id). A row with a logon is a relation: equal on the
+    normalised id, terminal and source, and not before the logon. The other rows
+    count an operation's logons of the same id by what rejects them:
+    other_terminal, other_source or before_logon. Rejected pairs are counted by
+    aggregates, never listed: an id that every terminal has meets only the
+    logons of its own terminal and source.
     """
-    a = logons.withColumn("key", logon_id(F.col("id"))).drop("id")
-    b = operations.withColumn("key", logon_id(F.col("id"))).drop("id")
-    reason = (
-        F.when(F.col("terminal") != F.col("o_terminal"), "other_terminal")
-        .when(F.col("source") != F.col("o_source"), "other_source")
-        .when(F.col("o_at") < F.col("at"), "before_logon")
+    full = ["key", "terminal", "source"]
+    a = logons.select(logon_id(F.col("id")).alias("key"), "terminal", "source", "logon", "at")
+    b = operations.select(
+        logon_id(F.col("id")).alias("key"), F.col("o_terminal").alias("terminal"), F.col("o_source").alias("source"), "operation", "o_at"
     )
-    return a.join(b, "key").select("logon", "operation", reason.alias("reason"))
+    pairs = written(a.join(b, full).where("o_at >= at").select("operation", "logon"), "sessions")
+    own = a.where("key is not null").groupBy(*full).agg(F.count("*").alias("own"))
+    here = own.groupBy("key", "terminal").agg(F.sum("own").alias("here"))
+    known = own.groupBy("key").agg(F.sum("own").alias("known"))
+    met = pairs.groupBy("operation").agg(F.count("*").alias("met"))
+    counts = b.join(known, "key").join(here, ["key", "terminal"], "left").join(own, full, "left").join(met, "operation", "left")
+    counts = counts.na.fill(0, ["here", "own", "met"])
+    reasons = F.array(
+        F.struct(F.lit("other_terminal").alias("reason"), (F.col("known") - F.col("here")).alias("logons")),
+        F.struct(F.lit("other_source").alias("reason"), (F.col("here") - F.col("own")).alias("logons")),
+        F.struct(F.lit("before_logon").alias("reason"), (F.col("own") - F.col("met")).alias("logons")),
+    )
+    rejected = counts.select("operation", F.explode(reasons).alias("r")).select("operation", "r.*").where("logons > 0")
+    related = pairs.withColumns({"reason": F.lit(None).cast("string"), "logons": F.lit(1).cast("long")})
+    return related.unionByName(rejected, allowMissingColumns=True)
 
 
 def linked_logons(logons: DataFrame) -> DataFrame:
@@ -86,16 +103,67 @@ def logon_chains(logons: DataFrame, sessions: DataFrame, explained: DataFrame, b
     )
 
 
-def same_connections(df: DataFrame, width: int = 60) -> DataFrame:
-    """(first, second): two records of one connection seen on two terminals.
+def same_connections(df: DataFrame, assignments: DataFrame, width: int = 60) -> tuple[DataFrame, DataFrame]:
+    """(rule, first, second): records of one connection, and (rule, reason, records): those that no rule relates.
+
+    df (record, terminal, src_ip, src_port, dst_port, dst_ip, at_us, phase):
+    dst_ip and phase (open or close) may be null; records are numbered in their
+    order. assignments (ip, start, stop, owner) in seconds. Only records that
+    agree on source address, source port and destination port are compared.
 
-    df (record, terminal, src_ip, src_port, dst_port, at_s).
+    phased: a close with the latest open before it of its terminal and
+    destination, used once. unphased: two records of a terminal and destination,
+    one of them of no phase, within ``width`` seconds, the earlier first. across:
+    a record whose destination belongs to exactly one terminal at its time, and
+    one of that other terminal within ``width`` seconds that names the same
+    destination or none; if either may be the connecting side, it is the lesser
+    record.
     """
-    keys = ["src_ip", "src_port", "dst_port"]
-    a = df.select(*keys, F.col("record").alias("first"), F.col("terminal").alias("t1"), F.col("at_s").alias("s1"))
-    b = df.select(*keys, F.col("record").alias("second"), F.col("terminal").alias("t2"), F.col("at_s").alias("s2"))
-    near = band_join(a, b, keys, F.col("s1"), F.col("s2"), width)
-    return near.where("first < second and t1 <> t2").select("first", "second")
+    sides = ["src_ip", "src_port", "dst_port"]
+    own = df.withColumns({"at_s": F.floor(F.col("at_us") / 1_000_000), "__dst": F.coalesce("dst_ip", F.lit("")), "__to": F.col("dst_ip").isNotNull()})
+    own = written(own, "connections")
+    at = [*sides, "terminal", "__dst", "__to"]
+    phased = written(phased_pairs(own.withColumn("__order", F.struct("at_us", "record")), at, "__order", "phase", "record", "open", "close"), "phased")
+    one = phased.select(F.lit("phased").alias("rule"), F.col("open_id").alias("first"), F.col("close_id").alias("second"))
+
+    a = own.select(*at, F.col("record").alias("first"), F.col("at_us").alias("u1"), F.col("at_s").alias("s1"), F.col("phase").alias("p1"))
+    b = own.select(*at, F.col("record").alias("second"), F.col("at_us").alias("u2"), F.col("at_s").alias("s2"), F.col("phase").alias("p2"))
+    # one of each pair has no phase, so two records with a phase never meet
+    half = band_join(a, b.where("p2 is null"), at, F.col("s1"), F.col("s2"), width).where("p1 is not null or first < second")
+    earlier = (F.col("u1") < F.col("u2")) | ((F.col("u1") == F.col("u2")) & (F.col("first") < F.col("second")))
+    two = half.select(
+        F.lit("unphased").alias("rule"), F.when(earlier, F.col("first")).otherwise(F.col("second")).alias("first"),
+        F.when(earlier, F.col("second")).otherwise(F.col("first")).alias("second"),
+    )
+    two = written(two, "unphased")
+
+    points = own.where("dst_ip is not null").select("record", F.col("dst_ip").alias("ip"), "at_s")
+    found = written(resolved(points, assignments, ["ip"], "record", "at_s", "start", "stop", "owner"), "resolved")
+    known = own.join(found, "record")
+    calls = known.where("outcome = 'determined' and owner <> terminal")
+    c = calls.select(*sides, F.col("owner").alias("terminal"), F.col("record").alias("caller"), F.col("dst_ip").alias("asked"), F.col("at_s").alias("s1"))
+    d = own.select(*sides, "terminal", F.col("record").alias("accepter"), "dst_ip", F.col("at_s").alias("s2"))
+    near = band_join(c, d, [*sides, "terminal"], F.col("s1"), F.col("s2"), width).where("dst_ip is null or dst_ip = asked")
+    both = near.groupBy(F.least("caller", "accepter").alias("lo"), F.greatest("caller", "accepter").alias("hi"))
+    three = both.agg(F.bool_or(F.col("caller") < F.col("accepter")).alias("up")).select(
+        F.lit("across").alias("rule"), F.when(F.col("up"), F.col("lo")).otherwise(F.col("hi")).alias("first"),
+        F.when(F.col("up"), F.col("hi")).otherwise(F.col("lo")).alias("second"),
+    )
+    three = written(three, "across")
+
+    def none(rule: str, reason, rows: DataFrame) -> DataFrame:
+        return rows.groupBy(F.lit(rule).alias("rule"), reason.alias("reason")).agg(F.count("*").alias("records"))
+
+    used = phased.select(F.explode(F.array("open_id", "close_id")).alias("record"))
+    alone = two.select(F.explode(F.array("first", "second")).alias("record"))
+    callers = three.select(F.col("first").alias("record"))
+    unknown = F.when(F.col("outcome") != "determined", F.col("outcome")).when(F.col("owner") == F.col("terminal"), "own_terminal").otherwise("no_partner")
+    rejected = (
+        none("phased", F.col("phase"), own.where("phase is not null").join(used, "record", "left_anti"))
+        .union(none("unphased", F.lit("no_partner"), own.where("phase is null").join(alone, "record", "left_anti")))
+        .union(none("across", unknown, known.join(callers, "record", "left_anti")))
+    )
+    return one.union(two).union(three), rejected
 
 
 def remote_logon_tallies(df: DataFrame) -> DataFrame:

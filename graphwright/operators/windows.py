@@ -98,16 +98,28 @@ def number_gaps(df: DataFrame, stream: str, number: str) -> DataFrame:
     )
 
 
-def source_order(df: DataFrame, source: str, position: str, time: str) -> DataFrame:
-    """(source, time_order): ascending, descending or unordered, by position."""
-    w = Window.partitionBy(source).orderBy(position)
-    step = F.col(time) >= F.lag(time).over(w)
-    back = F.col(time) <= F.lag(time).over(w)
-    marked = df.withColumns({"__up": step, "__down": back})
-    up = F.coalesce(F.bool_and("__up"), F.lit(True))
-    down = F.coalesce(F.bool_and("__down"), F.lit(True))
+def source_order(df: DataFrame, source: str, position: str, time: str, block: int = 100_000) -> DataFrame:
+    """(source, time_order): ascending, descending or unordered, by position.
+
+    Neighbours are compared within blocks of positions, and the ends of the
+    blocks with each other, so a long source is many tasks.
+    """
+    dealt = df.withColumn("__block", F.floor(F.col(position) / block))
+    w = Window.partitionBy(source, "__block").orderBy(position)
+    near = dealt.withColumns({"__up": F.col(time) >= F.lag(time).over(w), "__down": F.col(time) <= F.lag(time).over(w)})
+    blocks = near.groupBy(source, "__block").agg(
+        F.bool_and("__up").alias("__up"), F.bool_and("__down").alias("__down"),
+        F.min_by(time, position).alias("__first"), F.max_by(time, position).alias("__last"),
+    )
+    last = F.lag("__last").over(Window.partitionBy(source).orderBy("__block"))
+    joined = blocks.withColumns({"__over": F.col("__first") >= last, "__under": F.col("__first") <= last})
+
+    def every(*flags: str) -> Column:
+        return F.coalesce(F.bool_and(F.coalesce(flags[0], F.lit(True)) & F.coalesce(flags[1], F.lit(True))), F.lit(True))
+
+    up, down = every("__up", "__over"), every("__down", "__under")
     order = F.when(up, "ascending").when(down, "descending").otherwise("unordered")
-    return marked.groupBy(source).agg(order.alias("time_order"))
+    return joined.groupBy(source).agg(order.alias("time_order"))
 
 
 def context(df: DataFrame, scope: list[str], time: Column, seconds: int, row_id: str, of: int) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.times import epoch_s, epoch_us
-from ..operators import joins, logons, records
+from ..operators import joins, lineage, logons, records
 from ..sources import structured
 from .registry import query, table
 
@@ -24,15 +24,21 @@ def _kind(spark, sf_dir, kind: str):
 @query(f"""
 with e as (select *, {_K} as k from events),
 a as (select event_id as logon, event_id % 4 as t, event_id % 3 as s, ts, k * 16 + user_id % 15 as id from e where event_type = 'signup'),
-b as (select event_id as operation, event_id % 4 as t, event_id % 3 as s, ts, k * 16 + user_id % 15 as id from e where event_type = 'error')
-select logon, operation, case when a.t <> b.t then 'other_terminal' when a.s <> b.s then 'other_source' when b.ts < a.ts then 'before_logon' end as reason
-from a join b using (id)""")
+b as (select event_id as operation, event_id % 4 as t, event_id % 3 as s, ts, k * 16 + user_id % 15 as id from e where event_type = 'error'),
+p as (
+  select logon, operation,
+         case when a.t <> b.t then 'other_terminal' when a.s <> b.s then 'other_source' when b.ts < a.ts then 'before_logon' end as reason
+  from a join b using (id))
+select operation, logon, reason, 1::bigint as logons from p where reason is null
+union all select operation, null, reason, count(*) from p where reason is not null group by operation, reason""")
 def logon_operations(spark, sf_dir):
-    """Operations of a logon session, and why others are rejected."""
+    """Operations of a logon session, and how many logons others reject."""
     t, s = F.col("event_id") % 4, F.col("event_id") % 3
     id_ = F.concat(F.lit("0x00"), F.hex(F.col("k") * 16 + F.col("user_id") % 15))
     a = _kind(spark, sf_dir, "signup").select(F.col("event_id").alias("logon"), t.alias("terminal"), s.alias("source"), F.col("ts").alias("at"), id_.alias("id"))
-    b = _kind(spark, sf_dir, "error").select(F.col("event_id").alias("operation"), t.alias("o_terminal"), s.alias("o_source"), F.col("ts").alias("o_at"), id_.alias("id"))
+    b = _kind(spark, sf_dir, "error").select(
+        F.col("event_id").alias("operation"), t.alias("o_terminal"), s.alias("o_source"), F.col("ts").alias("o_at"), id_.alias("id")
+    )
     return logons.session_operations(a, b)
 
 
@@ -92,15 +98,69 @@ def logon_chains(spark, sf_dir):
     return logons.logon_chains(l.drop("k"), s, l.where("k % 10 = 0").select("logon"))
 
 
-@query(f"""
-with e as (select event_id, {_K} as k, user_id % 20 as ip, event_type as t, epoch_us(ts) // 1000000 as s from events)
-select a.event_id as first, b.event_id as second from e a join e b on a.ip = b.ip and a.k = b.k and a.t <> b.t and a.event_id < b.event_id and abs(a.s - b.s) <= 86400""")
-def same_connections(spark, sf_dir):
-    """One connection as two terminals saw it."""
+_SAME = f"""
+with e as (select *, {_K} as k, epoch_us(ts) as u, epoch_us(ts) // 1000000 as t from events),
+r as (
+  select event_id as record, event_id % 5 as terminal, user_id % 20 as ip, k % 10 as port, u, t,
+         case when event_id % 4 > 0 then '10.0.0.' || event_id % 7 end as dst,
+         case event_type when 'view' then 'open' when 'click' then 'close' end as phase
+  from e),
+g as (select '10.0.0.' || user_id % 7 as ip, t as lo, t + 43200 * (1 + k % 3) as hi, user_id % 5 as owner from e where event_type = 'signup' and k < 50),
+ph as (
+  select *, lag(phase) over w as was, lag(record) over w as open_id from r where phase is not null
+  window w as (partition by ip, port, terminal, dst order by u, record)),
+one as (select 'phased' as rule, open_id as first, record as second from ph where phase = 'close' and was = 'open'),
+two as (
+  select 'unphased' as rule, case when (a.u, a.record) < (b.u, b.record) then a.record else b.record end as first,
+         case when (a.u, a.record) < (b.u, b.record) then b.record else a.record end as second
+  from r a join r b on a.ip = b.ip and a.port = b.port and a.terminal = b.terminal and a.dst is not distinct from b.dst
+    and a.record < b.record and abs(a.t - b.t) <= 43200 and (a.phase is null or b.phase is null)),
+res as (
+  select r.record, count(distinct g.owner) as n, min(g.owner) as owner, any_value(known.ip) is not null as has
+  from r left join g on g.ip = r.dst and r.t between g.lo and g.hi left join (select distinct ip from g) known on known.ip = r.dst
+  where r.dst is not null group by r.record),
+acc as (
+  select c.record as caller, d.record as accepter
+  from r c join res on res.record = c.record and res.n = 1 and res.owner <> c.terminal
+  join r d on d.ip = c.ip and d.port = c.port and d.terminal = res.owner and abs(c.t - d.t) <= 43200 and (d.dst is null or d.dst = c.dst)),
+three as (
+  select 'across' as rule, case when bool_or(caller < accepter) then least(caller, accepter) else greatest(caller, accepter) end as first,
+         case when bool_or(caller < accepter) then greatest(caller, accepter) else least(caller, accepter) end as second
+  from acc group by least(caller, accepter), greatest(caller, accepter))"""
+
+
+def _connections(spark, sf_dir):
+    n, kind = F.col("event_id"), F.col("event_type")
     rows = _events(spark, sf_dir).select(
-        F.col("event_id").alias("record"), F.col("event_type").alias("terminal"), (F.col("user_id") % 20).alias("src_ip"), F.col("k").alias("src_port"), F.lit(445).alias("dst_port"), epoch_s(F.col("ts")).alias("at_s")
-    )
-    return logons.same_connections(rows, 86_400)
+        n.alias("record"), (n % 5).alias("terminal"), (F.col("user_id") % 20).alias("src_ip"), (F.col("k") % 10).alias("src_port"),
+        F.lit(445).alias("dst_port"), F.when(n % 4 > 0, F.concat(F.lit("10.0.0."), (n % 7).cast("string"))).alias("dst_ip"),
+        epoch_us(F.col("ts")).alias("at_us"), F.when(kind == "view", "open").when(kind == "click", "close").alias("phase"),
+    )
+    at = epoch_s(F.col("ts"))
+    given = _kind(spark, sf_dir, "signup").where("k < 50").select(
+        F.concat(F.lit("10.0.0."), (F.col("user_id") % 7).cast("string")).alias("ip"),
+        at.alias("start"), (at + 43200 * (1 + F.col("k") % 3)).alias("stop"), (F.col("user_id") % 5).alias("owner"),
+    )
+    return logons.same_connections(rows, given, 43_200)
+
+
+@query(_SAME + " select * from one union all select * from two union all select * from three")
+def same_connections(spark, sf_dir):
+    """Records of one connection: opened and closed, near each other, or seen by both terminals."""
+    return _connections(spark, sf_dir)[0]
+
+
+@query(_SAME + """
+select 'phased' as rule, phase as reason, count(*) as records from r
+where phase is not null and record not in (select first from one union select second from one) group by phase
+union all
+select 'unphased', 'no_partner', count(*) from r where phase is null and record not in (select first from two union select second from two) having count(*) > 0
+union all
+select 'across', case when not has then 'none' when n = 0 then 'outside_range' when n > 1 then 'overlapping' when owner = terminal then 'own_terminal' else 'no_partner' end as reason, count(*)
+from res join r using (record) where record not in (select first from three) group by reason""")
+def unrelated_connections(spark, sf_dir):
+    """Records of connections that a rule relates to no other, by the reason."""
+    return _connections(spark, sf_dir)[1]
 
 
 @query(f"""
@@ -324,3 +384,61 @@ def outbound_connections(spark, sf_dir):
     ip = F.when(n == 7, F.lit("224.0.0.1")).otherwise(F.concat(F.lit("10.9.8."), n.cast("string")))
     rows = _events(spark, sf_dir).select(F.col("event_id").alias("record"), terminal.alias("terminal"), ip.alias("dst_ip"), ((F.col("event_type") == "signup") & (terminal == n)).alias("owned"))
     return logons.outbound_connections(rows)
+
+
+_PROCESSES = f"""
+with o as (
+  select event_id as position, event_id % 3 as terminal, user_id % 12 as pid, {_K} % 13 as parent_pid,
+         epoch_us(ts) // 3600000000 as t, event_type in ('signup', 'purchase') as starts, event_type = 'error' as ends,
+         case when event_id % 2 = 0 then 0 else event_id end as sequence
+  from events),
+bounds as (
+  select terminal, pid, t, min(sequence) as lo, max(sequence) as hi from o where starts or ends group by all),
+m as (
+  select o.*, ends and (lo <> sequence or hi <> sequence) as unclear
+  from o left join bounds using (terminal, pid, t)),
+op as (
+  select *, not coalesce(unclear, false) and (starts or coalesce(lag(ends) over w, true)) as opens
+  from m window w as (partition by terminal, pid order by t, position)),
+i as (
+  select *, case when not coalesce(unclear, false) then last_value(case when opens then position end ignore nulls) over w end as process
+  from op window w as (partition by terminal, pid order by t, position rows between unbounded preceding and current row)),
+spans as (
+  select terminal, pid, process, min(t) as first_seen, max(t) as last_seen, count(*) as rows from i where process is not null group by all),
+state as (
+  select c.terminal, c.position, arg_max(case when p.ends then -1 else p.process end, (p.t, p.position)) as open
+  from i c join i p on p.terminal = c.terminal and p.pid = c.parent_pid and (p.t, p.position) < (c.t, c.position)
+    and (not coalesce(p.unclear, false) or p.ends)
+  where c.opens group by all),
+parents as (
+  select c.terminal, c.pid, c.position as process,
+         case when c.parent_pid = c.pid then 'own_pid' when lo <> c.sequence or hi <> c.sequence then 'ambiguous'
+              when coalesce(open, -1) = -1 then 'not_open' else 'parent' end as outcome, open
+  from i c left join state s on s.position = c.position
+  left join bounds b on b.terminal = c.terminal and b.pid = c.parent_pid and b.t = c.t
+  where c.opens)"""
+
+
+def _processes(spark, sf_dir):
+    n = F.col("event_id")
+    rows = _events(spark, sf_dir).select(
+        n.alias("position"), (n % 3).alias("terminal"), (F.col("user_id") % 12).alias("pid"), (F.col("k") % 13).alias("parent_pid"),
+        F.floor(epoch_us(F.col("ts")) / 3_600_000_000).cast("long").alias("at"),
+        F.col("event_type").isin("signup", "purchase").alias("starts"), (F.col("event_type") == "error").alias("ends"),
+        F.when(n % 2 == 0, 0).otherwise(n).alias("sequence"),
+    )
+    return lineage.lineage(rows, ["terminal"], "pid", "parent_pid", "at", "sequence", "position")
+
+
+@query(_PROCESSES + """
+select terminal, pid, process, first_seen, last_seen, rows, case when outcome = 'parent' then open end as parent, outcome
+from spans join parents using (terminal, pid, process)""")
+def process_parents(spark, sf_dir):
+    """Instances of reused process ids with the instance that was open when each began, or why there is none."""
+    return _processes(spark, sf_dir)[0]
+
+
+@query(_PROCESSES + " select position, process from i")
+def process_rows(spark, sf_dir):
+    """Which instance each record belongs to; ambiguous ends to none."""
+    return _processes(spark, sf_dir)[1]
