@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .joins import interval_candidates
+from ..plans.storage import written
+from .joins import band_join, interval_candidates
 
 #: Outcomes of an origin of matching, the one that counts first first.
 OUTCOMES = (
@@ -180,6 +181,45 @@ def selected_conditions(chosen: list[tuple[str, int]]) -> dict[str, int]:
     return {c: dict(chosen)[c] for c in CONDITIONS if c in names}
 
 
+def condition_trail(
+    origins: DataFrame, candidates: DataFrame, origin: str, conditions: list[tuple[str, str, str]], times: tuple[str, str], radius: int
+) -> DataFrame:
+    """(origin, stage, condition, stays, state): how many candidates are left after each condition, in order.
+
+    conditions: (name, column of origins, column of candidates), each on top of
+    those before it; stage 0 is all candidates, and the last stage is those
+    within ``radius`` of the origin by the whole numbers of ``times``. state is
+    kept, emptied (the first stage with none), empty (later ones), or unread (the
+    origin has no value to compare, which keeps none). Candidates are counted
+    by the prefixes of their conditions, and by time within all of them, so no
+    pair is listed.
+    """
+    names, own, theirs = (list(x) for x in zip(*conditions, strict=True))
+    at, when = times
+    # grouping_id has a bit for each column that a total leaves out
+    totals = candidates.rollup(*theirs).agg(F.count("*").alias("stays"), F.grouping_id().alias("left_out"))
+    stage = F.lit(len(theirs)) - F.bit_count("left_out")
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\0"))
+    prefix = lambda cols, n: F.slice(F.array(*map(text, cols)), F.lit(1), n)
+    keyed = totals.select(stage.cast("int").alias("stage"), "stays", *theirs)
+    keyed = written(keyed.select("stage", prefix(theirs, F.col("stage")).alias("key"), "stays"), "prefixes")
+    stages = origins.select(origin, *own, at, F.explode(F.sequence(F.lit(0), F.lit(len(own)))).alias("stage"))
+    readable = F.forall(F.slice(F.array(*(F.col(c).isNotNull() for c in own)), F.lit(1), F.col("stage")), lambda x: x)
+    asked = stages.select(origin, "stage", prefix(own, F.col("stage")).alias("key"), readable.alias("readable"))
+    met = asked.join(keyed, ["stage", "key"], "left").select(origin, "stage", "readable", F.when(F.col("readable"), F.col("stays")).alias("stays"))
+
+    seconds = candidates.where(F.col(when).isNotNull()).groupBy(*(F.col(c).alias(o) for c, o in zip(theirs, own, strict=True)), F.col(when).alias("__when")).agg(F.count("*").alias("__n"))
+    near = band_join(origins.select(origin, *own, at), seconds, own, F.col(at), F.col("__when"), radius)
+    last = near.groupBy(origin).agg(F.sum("__n").alias("stays"))
+    timed = origins.select(origin, F.lit(len(own) + 1).alias("stage"), F.forall(F.array(*(F.col(c).isNotNull() for c in (*own, at))), lambda x: x).alias("readable"))
+    rows = met.unionByName(timed.join(last, origin, "left")).withColumn("stays", F.coalesce("stays", F.lit(0)))
+    # the stages of one origin are few rows
+    before = F.lag("stays").over(Window.partitionBy(origin).orderBy("stage"))
+    state = F.when(F.col("stays") > 0, "kept").when(~F.col("readable"), "unread").when(F.coalesce(before, F.lit(1)) > 0, "emptied").otherwise("empty")
+    name = F.get(F.array(F.lit("all"), *map(F.lit, names), F.lit("time")), F.col("stage"))
+    return rows.select(origin, "stage", name.alias("condition"), "stays", state.alias("state"))
+
+
 def match_sides(records: DataFrame) -> DataFrame:
     """records with side: origin (a connection and no process), candidate (a process, a connection and a terminal) or null.
 

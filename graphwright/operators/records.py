@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import fragment_alphabet
+from ..plans.storage import written
 
 #: The ends and kinds of relations between the objects of one record.
 LINKS = (
@@ -138,10 +139,46 @@ def interpreted_times(records: DataFrame, offsets: DataFrame) -> DataFrame:
     return joined.withColumn("instant", F.when(F.col("minutes").isNotNull(), shifted)).drop("minutes")
 
 
-def collection_terminals(df: DataFrame) -> DataFrame:
-    """(collection, terminal): SHA-256 over the sorted member hashes, one a line."""
-    members = F.array_join(F.array_sort(F.collect_list("sha256")), "\n")
-    return df.groupBy("collection").agg(F.sha2(members, 256).alias("terminal"))
+#: Member hashes that one digest takes as they are.
+LEAF = 4096
+
+
+def collection_terminals(df: DataFrame, leaf: int = LEAF) -> DataFrame:
+    """(collection, terminal): SHA-256 over the sorted member hashes, one a line.
+
+    A collection of more members is a tree: they are dealt out by the next digit
+    of their hashes until at most ``leaf`` are in one group, each group is
+    digested as above, and a group's digest is that over its digits and their
+    digests, from the last level up. One hash more than ``leaf`` times is a group
+    of the hash and its count. So no task holds more than ``leaf`` hashes, and
+    the digest depends on the members alone. Null hashes count as empty.
+    """
+    members = df.select("collection", F.coalesce("sha256", F.lit("")).alias("sha256"))
+    left = written(members.groupBy("collection", "sha256").agg(F.count("*").alias("n")), "members")
+    depth, levels = 0, []
+    while True:
+        by = ["collection", "prefix"]
+        here = left.withColumn("prefix", F.substring("sha256", 1, depth))
+        sizes = here.groupBy(*by).agg(F.sum("n").alias("all"), F.count("*").alias("hashes"))
+        lists = here.join(sizes.where(F.col("all") <= leaf), by).withColumn("lines", F.array_repeat("sha256", F.col("n").cast("int")))
+        text = F.array_join(F.array_sort(F.flatten(F.collect_list("lines"))), "\n")
+        small = lists.groupBy(*by).agg(F.sha2(text, 256).alias("digest"))
+        alone = (F.col("all") > leaf) & (F.col("hashes") == 1)
+        one = here.join(sizes.where(alone), by).select(*by, F.sha2(F.concat_ws(" ", "sha256", F.col("n").cast("string")), 256).alias("digest"))
+        levels.append(written(small.union(one), "digests"))
+        big = sizes.where((F.col("all") > leaf) & ~alone).select(*by)
+        left = written(here.join(big, by, "left_semi").drop("prefix"), "members")
+        if left.isEmpty():
+            break
+        depth += 1
+    digests = levels.pop()
+    while levels:
+        depth -= 1
+        up = digests.withColumn("digit", F.substring("prefix", depth + 1, 1)).withColumn("prefix", F.substring("prefix", 1, depth))
+        text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("digit", "digest"))), lambda x: F.concat_ws(" ", x["digit"], x["digest"])), "\n")
+        inner = up.groupBy("collection", "prefix").agg(F.sha2(text, 256).alias("digest"))  # a digit each: 17 rows at most
+        digests = written(inner.union(levels.pop()), "digests")
+    return digests.select("collection", F.col("digest").alias("terminal"))
 
 
 def distinguished_names(df: DataFrame, path: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import network
 from ..functions.times import epoch_s
-from ..operators import details, detect, graph, joins, logsource
+from ..operators import details, detect, graph, joins, logsource, meanings
 from .queries_graph import _EVIDENCE, evidence
 from .registry import query, table
 
@@ -491,3 +491,114 @@ def address_blocks(spark, sf_dir):
         "p_partkey", network.in_cidr(F.col("ip"), "2001:db8::/32").alias("in_block"), network.in_cidr(F.col("ip"), "2001:db8::/63").alias("in_odd"),
         network.in_cidr(F.col("ip"), "10.0.0.0/8").alias("in_v4"), network.passes_blocks(F.lit("ip"), F.col("ip"), outside="2001:db8::/32").alias("passes"),
     )
+
+
+_TRAIL_SQL = f"""
+with o as (
+  select event_id as origin, user_id % 30 as address, {_K} % 20 as port, case when event_id % 9 = 0 then null else user_id % 4 end as target, epoch_us(ts) // 1000000 as t
+  from events where event_type = 'error'),
+c as (
+  select user_id % 37 as address, {_K} % 23 as port, case when event_id % 7 = 0 then null else event_id % 4 end as target, epoch_us(ts) // 1000000 as t
+  from events where event_type = 'click' and user_id % 2 = 0),
+n as (
+  select o.origin, o.target is null as open, (select count(*) from c) as s0, count(c.t) as s1, count(c.t) filter (c.port = o.port) as s2,
+         count(c.t) filter (c.port = o.port and c.target = o.target) as s3,
+         count(c.t) filter (c.port = o.port and c.target = o.target and abs(c.t - o.t) <= 500000) as s4
+  from o left join c on c.address = o.address group by o.origin, o.target),
+s as (
+  select origin, open, unnest([0, 1, 2, 3, 4]) as stage, unnest(['all', 'address', 'port', 'target', 'time']) as condition,
+         unnest([s0, s1, s2, s3, s4]) as stays, unnest([1, s0, s1, s2, s3]) as before from n)
+select origin, stage::int as stage, condition, stays, case when stays > 0 then 'kept' when open and stage > 2 then 'unread' when before > 0 then 'emptied' else 'empty' end as state
+from s"""
+
+
+@query(_TRAIL_SQL)
+def condition_trails(spark, sf_dir):
+    """How many candidates each condition leaves of those before it, and which one empties the set."""
+    rows, at = table(spark, sf_dir, "events"), epoch_s(F.col("ts"))
+    target = F.when(F.col("event_id") % 9 == 0, None).otherwise(F.col("user_id") % 4)
+    origins = rows.where("event_type = 'error'").select(F.col("event_id").alias("origin"), (F.col("user_id") % 30).alias("src"), (_k() % 20).alias("port"), target.alias("dst"), at.alias("at"))
+    theirs = F.when(F.col("event_id") % 7 == 0, None).otherwise(F.col("event_id") % 4)
+    candidates = rows.where("event_type = 'click' and user_id % 2 = 0").select((F.col("user_id") % 37).alias("c_src"), (_k() % 23).alias("c_port"), theirs.alias("c_dst"), at.alias("c_at"))
+    conditions = [("address", "src", "c_src"), ("port", "port", "c_port"), ("target", "dst", "c_dst")]
+    return details.condition_trail(origins, candidates, "origin", conditions, ("at", "c_at"), 500_000)
+
+
+_EVENTS_SQL = f"""
+e as (
+  select event_id as record, case when event_id % 11 = 0 then 'Other' else 'Microsoft-Windows-Sysmon' end as provider,
+         [1, 2, 3, 11, 12, 13, 22][event_id % 7 + 1] as event_id, event_id as n, user_id as u, {_K} as k, ts from events),
+d as (
+  select record, provider, event_id, n % 4 = 0 as initiated, unnest(['UtcTime', 'ProcessGuid', 'Image', 'TargetFilename', 'SourceIp', 'DestinationHostname', 'TargetObject', 'Initiated', 'Extra']) as name,
+         unnest([case when n % 5 = 0 then 'never' else strftime(ts, '%Y-%m-%d %H:%M:%S') || '.250' end,
+                 case when k % 4 = 0 then '{{00000000-0000-0000-0000-000000000000}}' else '{{' || u || '}}' end, '', 'f' || k,
+                 case when k % 3 = 0 then '-' else '10.0.0.' || k end, case when k % 2 = 0 then '-' else 'h' || k end, case when u % 6 = 0 then '' else 'HK' || u end,
+                 case when n % 4 = 0 then 'true' else 'false' end, 'x']) as value, ts, n
+  from e),
+m as (
+  select *, case when provider = 'Other' then null when name = 'Image' and event_id < 20 then 'process.binary_path' when name = 'ProcessGuid' and event_id < 20 then 'process.id'
+    when name = 'UtcTime' and n % 5 > 0 and event_id < 20 then case when event_id = 1 then 'process.start_time' else 'event.operation_start_time' end
+    when name = 'TargetFilename' and event_id in (2, 11) then 'file.path' when name = 'TargetObject' and event_id in (12, 13) then 'registry_value.key_path'
+    when name = 'SourceIp' and event_id = 3 and initiated then 'connection.source_address'
+    when name = 'DestinationHostname' and event_id = 3 and initiated then 'connection.destination_reverse_lookup_name' end as semantic from d)"""
+
+
+def _monitored(spark, sf_dir):
+    n, u, k = F.col("event_id"), F.col("user_id").cast("string"), _k()
+    kind = F.element_at(F.array(*map(F.lit, (1, 2, 3, 11, 12, 13, 22))), (n % 7 + 1).cast("int"))
+    text = k.cast("string")
+    data = {
+        "UtcTime": F.when(n % 5 == 0, "never").otherwise(F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(".250"))),
+        "ProcessGuid": F.when(k % 4 == 0, "{00000000-0000-0000-0000-000000000000}").otherwise(F.concat(F.lit("{"), u, F.lit("}"))),
+        "Image": F.lit(""),
+        "TargetFilename": F.concat(F.lit("f"), text),
+        "SourceIp": F.when(k % 3 == 0, "-").otherwise(F.concat(F.lit("10.0.0."), text)),
+        "DestinationHostname": F.when(k % 2 == 0, "-").otherwise(F.concat(F.lit("h"), text)),
+        "TargetObject": F.when(F.col("user_id") % 6 == 0, "").otherwise(F.concat(F.lit("HK"), u)),
+        "Initiated": F.when(n % 4 == 0, "true").otherwise("false"),
+        "Extra": F.lit("x"),
+    }
+    return table(spark, sf_dir, "events").select(
+        n.alias("record"), F.when(n % 11 == 0, "Other").otherwise("Microsoft-Windows-Sysmon").alias("provider"), kind.alias("event_id"),
+        F.create_map(*(x for name, v in data.items() for x in (F.lit(name), v))).alias("data"),
+    )
+
+
+@query(f"""
+with {_EVENTS_SQL}
+select record, name, semantic, value,
+       case when semantic in ('process.id', 'file.path', 'registry_value.key_path', 'connection.source_address', 'connection.destination_reverse_lookup_name')
+              and value in ('', '-', '{{00000000-0000-0000-0000-000000000000}}') then 'absent' else 'present' end as state,
+       case when semantic like '%_time' then epoch_us(ts) // 1000000 end as second
+from m""")
+def event_meanings(spark, sf_dir):
+    """What the data of system monitor events mean, and which of it says that there is nothing."""
+    out = meanings.event_meanings(_monitored(spark, sf_dir))
+    return out.withColumn("second", epoch_s(F.col("instant"))).drop("instant")
+
+
+@query(f"""
+with {_EVENTS_SQL},
+r as (select record, provider, event_id, n % 3 = 0 as rendered, n % 6 = 0 as unnamed, n % 10 = 3 as twice, k from e)
+select record,
+       case when twice or (rendered and unnamed) then 'unknowable' when event_id <> 2 then 'known'
+            when not rendered or (provider <> 'Other' and not unnamed) then 'absent' else 'unknowable' end as image,
+       case when rendered and unnamed then 'unknowable' when not rendered or (provider <> 'Other' and not unnamed) then 'absent' else 'unknowable' end as other,
+       case when record % 2 = 0 then 'known' else 'absent' end as level,
+       case when twice or (rendered and unnamed) then null when event_id <> 2 then k % 2 = 0 when not rendered or (provider <> 'Other' and not unnamed) then false end as even
+from r""")
+def knowable_names(spark, sf_dir):
+    """Whether a record's fields can say what a name asks for, and a term in three values."""
+    n, c = F.col("record"), F.lit("EventData.")
+    own = _monitored(spark, sf_dir).join(table(spark, sf_dir, "events").select(F.col("event_id").alias("record"), _k().alias("k")), "record")
+    names = F.array_compact(F.array(
+        F.when(F.col("event_id") != 2, F.concat(c, F.lit("Image"))), F.when(n % 10 == 3, F.concat(c, F.lit("Image#2"))),
+        F.when(n % 6 == 0, F.concat(c, F.lit("Data"))), F.when(n % 2 == 0, F.lit("Level")), F.concat(c, F.lit("Extra")),
+    ))
+    form = F.when(n % 3 == 0, meanings.RENDERED).otherwise("windows_event_xml")
+    rows = own.withColumns({"names": names, "form": form})
+    of = (F.col("names"), F.col("form"), F.col("provider"))
+    return rows.select(
+        "record", meanings.knowledge("Image", *of).alias("image"), meanings.knowledge("Other", *of).alias("other"), meanings.knowledge("Level", *of).alias("level"),
+        meanings.when_known("Image", F.col("k") % 2 == 0, *of).alias("even"),
+    )

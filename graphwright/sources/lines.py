@@ -21,17 +21,19 @@ _ERROR = r"^\[([^\]]+)\] \[([^:\]]*):([^\]]+)\] \[pid (\d+)(?::tid (\d+))?\](?:
 TRIALS = {"access": _ACCESS, "error": _ERROR, "audit": r"\bmsg=audit\(\d+\.\d+:\d+\)"}
 
 
-#: Between the parts of a line while it is taken apart; a line that holds it fails.
+#: Before the parts of a line while it is taken apart, and between them; a line that holds it fails.
 _CUT = "\x01\x02"
 
 
 def line_parts(line: Column, pattern: str, groups: int) -> Column:
     """The groups of a pattern for a whole line, as an array of texts; null where it fails.
 
-    One pass of the expression over the line; groups that take no part are empty.
+    One pass of the expression over the line; groups that take no part are
+    empty. A line that fails stays as it is and so begins with no mark.
     """
-    parts = F.split(F.regexp_replace(line, pattern, _CUT.join(f"${i}" for i in range(1, groups + 1))), _CUT)
-    return F.when(F.size(parts) == groups, parts)
+    marked = F.regexp_replace(line, pattern, _CUT + _CUT.join(f"${i}" for i in range(1, groups + 1)))
+    parts = F.split(marked, _CUT)
+    return F.when(F.startswith(marked, F.lit(_CUT)) & (F.size(parts) == groups + 1) & ~F.contains(line, F.lit(_CUT)), F.slice(parts, 2, groups))
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
