@@ -266,10 +266,12 @@ def simhash_components(docs: DataFrame, n: int = 4, bits: int = 4) -> DataFrame:
 
 #: Short fingerprints of a text, their bits and the bits in which a pair may differ in one.
 SHORT, SHORT_BITS, SHORT_BUDGET = 10, 32, 3
+#: All bits of a text by which candidates are chosen; the short fingerprints are the first of them.
+WIDE_BITS = 768
 #: Standard deviations by which the bits of a similar pair may be off.
 OFF = 2.3
 #: Random odd numbers that make the words of a wide fingerprint from one hash.
-_SPREAD = np.random.default_rng(20240607).integers(0, 1 << 63, SHORT * SHORT_BITS // 64, np.uint64) * np.uint64(2) + np.uint64(1)
+_SPREAD = np.random.default_rng(20240607).integers(0, 1 << 63, WIDE_BITS // 64, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingle_set(text: str | None, n: int = 5) -> np.ndarray:
@@ -283,7 +285,7 @@ def shingle_set(text: str | None, n: int = 5) -> np.ndarray:
 
 
 def wide_fingerprint(shingles: np.ndarray) -> np.ndarray:
-    """SimHash of SHORT * SHORT_BITS bits of a set of shingles, in 64-bit words."""
+    """SimHash of WIDE_BITS bits of a set of shingles, in 64-bit words."""
     h = shingles[:, None] * _SPREAD
     h = (h ^ (h >> np.uint64(32))) * _SPREAD[::-1]
     h ^= h >> np.uint64(29)
@@ -295,6 +297,8 @@ def wide_fingerprint(shingles: np.ndarray) -> np.ndarray:
 
 def forest(n: int, i: np.ndarray, j: np.ndarray, length: np.ndarray) -> np.ndarray:
     """Which of the edges i-j of n nodes make a spanning forest of the least lengths."""
+    # equal lengths go by the ends, so that the forests of groups with the same nodes agree
+    i, j = np.minimum(i, j), np.maximum(i, j)
     order = np.lexsort((j, i, length))
     i, j = i[order], j[order]
     root, live, chosen = np.arange(n), np.arange(len(i)), [np.zeros(0, np.int64)]
@@ -432,7 +436,7 @@ def _verified_groups(dealt: DataFrame, sets_of, most: int, group: int, similarit
         forests *= 4
 
 
-def bits_of(similarity: float, bits: int = SHORT * SHORT_BITS) -> int:
+def bits_of(similarity: float, bits: int = WIDE_BITS) -> int:
     """Differing bits that a pair of this Jaccard similarity may have."""
     share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
     return int(np.ceil(bits * share + OFF * np.sqrt(bits * share * (1 - share))))
@@ -465,7 +469,7 @@ def deduplicated(docs: DataFrame, n: int = 5, similarity: float = 0.8, group: in
         "fingerprints",
     )
     # all texts without a word are one class
-    none = F.col("wide") == F.lit(bytes(SHORT * SHORT_BITS // 8))
+    none = F.col("wide") == F.lit(bytes(WIDE_BITS // 8))
     fps = fps.withColumn("class", F.when(none, "").otherwise(F.col("digest")))
     order = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "digest")
     classes = fps.groupBy("class").agg(F.first("wide").alias("wide"), F.min(order).alias("least"))
