@@ -92,10 +92,11 @@ def named_fields(df: DataFrame, **names: str) -> dict[str, tuple[Column, str]]:
 
 
 def term(fields: dict[str, tuple[Column, str]], field: str, op: str, want: str) -> Column:
-    """Whether the columns of a record satisfy one term; a field that no column has never does.
+    """Whether the columns of a record satisfy one term; never null.
 
-    Order on a numeric column is null where the column is, so that it reaches
-    the scan as it is; use ``F.coalesce`` before negating it.
+    A field that no column has, and one whose columns are all null, is absent: it
+    satisfies no term, != included, as in ``compare``. Order on a numeric column
+    reaches the scan as it is.
     """
     _checked(op, want)
     own = [fields[field]] if field in fields else [v for n, v in fields.items() if n.endswith("." + field)]
@@ -103,7 +104,8 @@ def term(fields: dict[str, tuple[Column, str]], field: str, op: str, want: str)
         return F.lit(False)
     if op == "!=":
         equal = [_satisfied(c.cast("string"), "==", want) for c, _ in own]
-        return ~reduce(lambda a, b: a | b, equal)
+        there = reduce(lambda a, b: a | b, (c.isNotNull() for c, _ in own))
+        return there & ~reduce(lambda a, b: a | b, equal)
     hits = []
     for column, kind in own:
         if kind.startswith(_NUMERIC) and op not in ("==", "contains"):
@@ -122,7 +124,8 @@ def _numeric(column: Column, kind: str, op: str, want: str) -> Column:
         return _ordered(column.cast("string"), op, want)
     bound = F.lit(want).cast("double" if real else f"decimal(38,{len(want.partition('.')[2])})")
     hit = {">=": column >= bound, "<=": column <= bound, ">": column > bound, "<": column < bound}[op]
-    return hit & ~F.isnan(column) if real else hit
+    there = column.isNotNull() & ~F.isnan(column) if real else column.isNotNull()
+    return hit & there
 
 
 def mentioned(fields: dict[str, tuple[Column, str]], text: str) -> Column:
@@ -136,7 +139,11 @@ def _named(name: Column, field: str) -> Column:
 
 
 def compare(fields: Column, field: str, op: str, want: str) -> Column:
-    """Whether a record's own fields (an array) satisfy one term."""
+    """Whether a record's own fields (an array) satisfy one term.
+
+    A field without a value is not held: != is of fields that hold a value and
+    none equal to the one wanted.
+    """
     _checked(op, want)
     exact = F.exists(fields, lambda f: f["name"] == field)
     own = F.filter(
@@ -144,7 +151,8 @@ def compare(fields: Column, field: str, op: str, want: str) -> Column:
     )
     if op == "!=":
         none = ~F.exists(own, lambda f: _satisfied(f["value"], "==", want))
-        return F.coalesce((F.size(own) > 0) & none, F.lit(False))
+        held = F.exists(own, lambda f: f["value"].isNotNull())
+        return F.coalesce(held & none, F.lit(False))
     return F.coalesce(F.exists(own, lambda f: _satisfied(f["value"], op, want)), F.lit(False))
 
 

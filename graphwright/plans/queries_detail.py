@@ -238,19 +238,21 @@ def terminal_events(spark, sf_dir):
 
 
 @query(f"""
-with o as (select user_id as origin, case {_K} % 6 when 0 then 'matched' when 1 then 'no_candidate_in_window' when 2 then 'no_candidate_record'
+with o as (select case when {_K} % 11 > 7 then user_id else user_id + 1000 end as origin, case {_K} % 6 when 0 then 'matched' when 1 then 'no_candidate_in_window' when 2 then 'no_candidate_record'
   when 3 then 'terminal_undetermined' when 4 then 'proxy_address_unknown' else 'candidate_item_unreadable' end as outcome,
-  case {_K} % 6 when 0 then 1 when 1 then 10 when 2 then 15 when 3 then 7 when 4 then 13 else 12 end as rank from events where event_type = 'error' and {_K} % 11 > 7),
+  case {_K} % 6 when 0 then 1 when 1 then 10 when 2 then 15 when 3 then 7 when 4 then 13 else 12 end as rank from events where event_type = 'error'),
 b as (select origin, min_by(outcome, rank) as outcome from o group by 1)
-select user_id as record, coalesce(b.outcome, 'not_used_as_origin') as outcome from (select distinct user_id from events) u left join b on origin = user_id""")
+select user_id as record, coalesce(b.outcome, 'not_used_as_origin') as outcome from (select user_id from events union select origin from o where origin % 2 = 0) u left join b on origin = user_id""")
 def match_outcomes(spark, sf_dir):
     """The best outcome of each origin over its candidate sets, and of records that were none."""
     k = _k() % 6
     name = F.when(k == 0, "matched").when(k == 1, "no_candidate_in_window").when(k == 2, "no_candidate_record").when(k == 3, "terminal_undetermined")
     name = name.when(k == 4, "proxy_address_unknown").otherwise("candidate_item_unreadable")
     rows = table(spark, sf_dir, "events")
-    tried = rows.where((F.col("event_type") == "error") & (_k() % 11 > 7)).select(F.col("user_id").alias("origin"), name.alias("outcome"))
-    return details.derivations(rows.select(F.col("user_id").alias("record")).distinct(), details.best_outcomes(tried))
+    origin = F.when(_k() % 11 > 7, F.col("user_id")).otherwise(F.col("user_id") + 1000)
+    tried = rows.where("event_type = 'error'").select(origin.alias("origin"), name.alias("outcome"))
+    known = rows.select(F.col("user_id").alias("record")).union(tried.where("origin % 2 = 0").select("origin")).distinct()
+    return details.derivations(known, details.best_outcomes(tried))
 
 
 @query(f"""
@@ -409,28 +411,28 @@ def run_times(spark, sf_dir):
 
 @query("""
 with r as (select event_id as record, user_id % 20 as address, epoch_us(ts) // 1000000 as s from events where event_type = 'view'),
-a as (select user_id % 20 as address, epoch_us(ts) // 1000000 as lo, case when event_id % 4 <> 0 then epoch_us(ts) // 1000000 + 3600 end as hi, 't' || event_id % 3 as terminal from events where event_type = 'signup' and user_id % 20 > 3),
+a as (select user_id % 16 + 4 as address, epoch_us(ts) // 1000000 as lo, case when event_id % 4 <> 0 then epoch_us(ts) // 1000000 + 3600 end as hi, 't' || event_id % 3 as terminal from events where event_type = 'signup'),
 h as (select distinct record, terminal from r join a using (address) where s >= lo and (hi is null or s <= hi))
 select record, coalesce(string_agg(terminal, ',' order by terminal), '') as terminals from r left join h using (record) group by 1""")
 def supplemented_records(spark, sf_dir):
     """Records with the terminals that assignments give their address; some assignments are open."""
     rows, at = table(spark, sf_dir, "events"), epoch_s(F.col("ts"))
     address = F.col("user_id") % 20
-    made = rows.where("event_type = 'signup' and user_id % 20 > 3").select(
-        address.alias("address"), at.alias("start_s"), F.when(F.col("event_id") % 4 != 0, at + 3600).alias("end_s"), F.concat(F.lit("t"), (F.col("event_id") % 3).cast("string")).alias("terminal")
+    made = rows.where("event_type = 'signup'").select(
+        (F.col("user_id") % 16 + 4).alias("address"), at.alias("start_s"), F.when(F.col("event_id") % 4 != 0, at + 3600).alias("end_s"), F.concat(F.lit("t"), (F.col("event_id") % 3).cast("string")).alias("terminal")
     )
     out = details.supplemented(rows.where("event_type = 'view'").select(F.col("event_id").alias("record"), address.alias("address"), at.alias("at")), made)
     return out.select("record", F.array_join("terminal_items", ",").alias("terminals"))
 
 
 @query("""
-with e as (select 'n' || c_custkey % 50 as node, 'h' || c_nationkey % 3 as host from customer where c_custkey % 50 < 40 and c_nationkey < 2),
+with e as (select 'n' || case when c_nationkey < 2 then c_custkey % 40 else 1000 + c_custkey end as node, 'h' || c_nationkey % 3 as host from customer),
 k as (select 'n' || s_suppkey as node, 'h' || s_suppkey % 2 as host from supplier), b as (select * from e union select * from k)
 select node, min(host) as host from b group by 1 having count(distinct host) = 1""")
 def node_hosts(spark, sf_dir):
     """The one host of each node."""
-    rows = table(spark, sf_dir, "customer").where("c_custkey % 50 < 40 and c_nationkey < 2")
-    edges = rows.select(F.lit("ran_on").alias("kind"), F.concat(F.lit("n"), (F.col("c_custkey") % 50).cast("string")).alias("src"), F.concat(F.lit("h"), (F.col("c_nationkey") % 3).cast("string")).alias("dst"))
+    number = F.when(F.col("c_nationkey") < 2, F.col("c_custkey") % 40).otherwise(F.col("c_custkey") + 1000)
+    edges = table(spark, sf_dir, "customer").select(F.lit("ran_on").alias("kind"), F.concat(F.lit("n"), number.cast("string")).alias("src"), F.concat(F.lit("h"), (F.col("c_nationkey") % 3).cast("string")).alias("dst"))
     keyed = table(spark, sf_dir, "supplier").select(F.concat(F.lit("n"), F.col("s_suppkey").cast("string")).alias("node"), F.concat(F.lit("h"), (F.col("s_suppkey") % 2).cast("string")).alias("host"))
     return details.node_hosts(edges, keyed)
 

@@ -117,7 +117,7 @@ def candidate_layer(spark, sf_dir):
 @query("""
 with r0 as (select event_id as record, user_id % 4 as terminal, user_id % 20 as ip, epoch_us(ts) // 1000000 as tm, event_id // 2 as transcript from events where event_type in ('error', 'view')),
 r as (select * from r0 where record in (select min(record) from r0 group by transcript)),
-a as (select user_id % 20 as ip, epoch_us(ts) // 1000000 as s, epoch_us(ts) // 1000000 + 21600 as e, event_id % 4 as source from events where event_type = 'signup' and user_id % 20 > 5),
+a as (select user_id % 14 + 6 as ip, epoch_us(ts) // 1000000 as s, epoch_us(ts) // 1000000 + 21600 as e, event_id % 4 as source from events where event_type = 'signup'),
 h as (select record, count(distinct source) as n, min(source) as source from r join a using (ip) where tm between s and e group by 1)
 select record, source, terminal as target, 'terminal_remote_session' as relation from r join h using (record) where n = 1 and source <> terminal
 union all select record, null, terminal, 'unidentified_source' from r where ip not in (select ip from a) and ip <> 3""")
@@ -128,7 +128,8 @@ def remote_sessions(spark, sf_dir):
     rows = events.where("event_type in ('error', 'view')").select(
         F.col("event_id").alias("record"), (F.col("user_id") % 4).alias("terminal"), ip.alias("src_ip"), at.alias("at"), F.floor(F.col("event_id") / 2).alias("transcript")
     )
-    made = events.where("event_type = 'signup' and user_id % 20 > 5").select(ip.alias("src_ip"), at.alias("start_s"), (at + 21600).alias("end_s"), (F.col("event_id") % 4).alias("source"))
+    held = F.concat(F.lit("10.0.0."), (F.col("user_id") % 14 + 6).cast("string"))
+    made = events.where("event_type = 'signup'").select(held.alias("src_ip"), at.alias("start_s"), (at + 21600).alias("end_s"), (F.col("event_id") % 4).alias("source"))
     return logons.remote_sessions(rows, made)
 
 

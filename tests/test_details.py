@@ -64,7 +64,7 @@ def test_alternatives_are_no_way(spark):
     rows = [(1, "a", "r", 0, 1), (2, "b", "r", 0, 1), (3, "r", "b", 2, 3), (4, "r", "x", 2, 3), (5, "a", "s", 0, 1), (6, "s", "y", 2, 3)]
     contacts = spark.createDataFrame(rows, "contact int, src string, dst string, depart int, arrive int")
     sends = spark.createDataFrame([(1, "r", "a"), (2, "r", "b"), (5, "s", "a")], "contact int, record string, candidate string")
-    split = graph.separated(contacts, sends, spark.createDataFrame([(3,)], "contact int"))
+    split = graph.separated(contacts, sends, spark.createDataFrame([(3,)], "contact int"), "a", "y")
     got = {r.node for r in graph.earliest_arrivals(split, "a", 0).collect()}
     assert got == {"a", "r#a", "x", "s", "y"}
 
@@ -147,7 +147,9 @@ def test_outcomes_and_names(spark):
     names = [("a.exe", "A.dll", False), ("a.b.exe", "a.exe", True), (" ", "a", False), (None, "a", False), ("x", "y", True)]
     rows = spark.createDataFrame(names, "n string, o string, d boolean")
     assert all(r.d == r.x for r in rows.select("d", details.original_name_differs(F.col("n"), F.col("o")).alias("x")).collect())
-    assert details.step_predicate(F.lit(1), F.lit(2), True) is not None
+    both = spark.createDataFrame([(c, f) for c in (True, False) for f in (True, False)], "c boolean, f boolean")
+    steps = [details.step_predicate(F.col("c"), F.col("f"), only) for only in (True, False)]
+    assert {tuple(r) for r in both.select("c", "f", *steps).collect()} == {(c, f, f, c and f) for c in (True, False) for f in (True, False)}
 
 
 def test_headers_without_numbers(spark):

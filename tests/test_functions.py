@@ -26,7 +26,7 @@ PAIRS = [("name", "ab C"), ("size", "1" + "0" * 41), ("low", "-7.125"), ("at", "
         ("name", "==", "Ab c", True),
         ("name", "!=", "other", True),
         ("nothing", "!=", "other", False),
-        ("none", "!=", "other", True),
+        ("none", "!=", "other", False),  # a field without a value is not held
         ("none", "<", "1", False),
         ("size", ">", "9" * 41, True),
         ("size", "<", "-5", False),
@@ -176,3 +176,23 @@ def test_arrivals_over_many_contacts(spark):
     contacts = spark.createDataFrame(rows, "src int, dst int, depart int, arrive int").coalesce(1)
     got = {r.node: r.arrival for r in graph.earliest_arrivals(contacts, 0, 0).collect()}
     assert got == {i: i for i in range(71)}
+
+
+def test_terms_on_null_columns_and_their_negation(spark):
+    from functools import reduce
+
+    from graphwright.functions import search
+
+    rows = [("a", 5, 1.5), ("b", None, None), (None, 7, float("nan")), (None, None, None)]
+    df = spark.createDataFrame(rows, "name string, n int, x double")
+    fields = search.named_fields(df)
+    own = F.array_compact(F.array(*(F.when(F.col(c).isNotNull(), F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("value"))) for c in df.columns)))
+    asked = [("name", "!=", "a"), ("name", "==", "a"), ("n", "!=", "5"), ("n", ">=", "6"), ("n", "<", "6"), ("x", ">", "1"), ("none", "!=", "a")]
+    columns = [search.term(fields, *t).alias(f"c{i}") for i, t in enumerate(asked)]
+    records = [search.compare(own, *t).alias(f"r{i}") for i, t in enumerate(asked)]
+    got = df.select(*columns, *records, *((~c).alias(f"n{i}") for i, c in enumerate(columns))).collect()
+    for r in got:
+        for i in range(len(asked)):
+            assert r[f"c{i}"] is not None and r[f"c{i}"] == r[f"r{i}"] and r[f"n{i}"] == (not r[f"c{i}"]), (asked[i], r)
+    plan = df.where(reduce(lambda a, b: a & b, [search.term(fields, "n", ">=", "6")]))._jdf.queryExecution().optimizedPlan().toString()
+    assert "coalesce" not in plan.lower()
