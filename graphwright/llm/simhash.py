@@ -446,9 +446,9 @@ def deduplicated(docs: DataFrame, n: int = 5, similarity: float = 0.8, group: in
     """The rows of docs (doc_id, text and others) without near-duplicates of others.
 
     Two texts link when the Jaccard similarity of their sets of word n-grams is
-    ``similarity`` or more and their fingerprints show it, as those of 94 of 100
-    random pairs at 0.80 and of 99 at 0.85 do; equal texts always do, and all
-    texts without a word. Each link that joins two groups is checked exactly. Of each
+    ``similarity`` or more and their fingerprints show it, as those of 99 of 100
+    random pairs at 0.80 to 0.82 do; equal texts always do, and all texts without
+    a word. Each link that joins two groups is checked exactly. Of each
     group of texts linked directly or by others one row stays: that of the
     least doc_id, nulls last, then the least other values. A unique text stays,
     also with a null doc_id or with one that other rows have. An empty table
