@@ -606,6 +606,41 @@ def test_fuzzy_recall(spark):
     assert len(found) >= 0.95 * len(rates)
 
 
+def test_fuzzy_recall_at_the_threshold(spark):
+    """Of passages of 60 words with 9 to 11 of them replaced (similarity 0.85 to 0.82), 95 in 100 are found; with 12 (0.80), 92."""
+    rng = random.Random(17)
+    some = lambda n: ["".join(rng.choices("abcdefghij", k=6)) for _ in range(n)]
+    texts, edits = [], {}
+    for i in range(400):
+        shared = some(60)
+        edits[2 * i + 1] = 9 + i % 4
+        # the first and last words stay, so that the passage is alike as it is
+        at = set(rng.sample(range(1, 59), edits[2 * i + 1]))
+        texts += [some(40) + shared + some(40), some(20) + [w if p not in at else some(1)[0] for p, w in enumerate(shared)] + some(60)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    rows = passages.repeated_passages(docs).collect()
+    assert all(r.other_id == r.doc_id - 1 and r.n_words >= 50 and r.similarity >= 0.8 for r in rows)
+    found = {r.doc_id for r in rows}
+    for n in range(9, 13):
+        of_n = [d for d, edited in edits.items() if edited == n]
+        assert len(found.intersection(of_n)) >= (0.92 if n == 12 else 0.95) * len(of_n), n
+
+
+def test_longest_alike_against_brute_force():
+    rng, held = random.Random(18), 0
+    for _ in range(300):
+        n = rng.randrange(1, 140)
+        mx, my = (np.cumsum([rng.choice([1] * 16 + [2, 2, 3, rng.choice([1, 9])]) for _ in range(n)]) for _ in range(2))
+        sizes = {(s, e): max(mx[e - 1] - mx[s], my[e - 1] - my[s]) + 1 for s in range(n) for e in range(s + 1, n + 1)}
+        best = max((e - s for (s, e), size in sizes.items() if size >= 50 and 10 * (e - s) >= 8 * size), default=0)
+        out = passages.longest_alike(mx, my, 50, 0.8)
+        assert max((e - s for s, e in out), default=0) == best
+        assert all(sizes[r] >= 50 and 10 * (r[1] - r[0]) >= 8 * sizes[r] for r in out)
+        assert all(one[1] <= two[0] for one, two in zip(out, out[1:]))
+        held += 0 < best < n
+    assert held >= 50
+
+
 def test_long_passages_with_stolen_seeds(spark):
     """A passage far longer than what is fetched at first, most of whose seeds lead to other documents."""
     rng = random.Random(15)
