@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.network import is_ip
 from ..functions.times import access_time, audit_time, header_time
+from ..plans.storage import written
 
 _ACCESS = (
     r'^(\S+) (\S+) (\S+) \[([^\]]*)\] "((?:[^"\\]|\\.)*)" (\S+) (\S+)'
@@ -171,26 +172,44 @@ def endpoint_records(lines: DataFrame, required: list[str], line: str = "line")
     return out.withColumn("missing", missing).withColumn("failed", F.col("instant").isNull() | (F.size("missing") > 0))
 
 
+def _followed(opened: DataFrame, jumps: DataFrame) -> DataFrame:
+    """opened (node, serial, number) and all that jumps (node, serial, at, to) lead to from there.
+
+    Jumps double in each round, so a chain of n of them takes log n rounds.
+    """
+    keys = ["node", "serial"]
+    jumps = written(jumps, "audit-jumps")
+    while not jumps.isEmpty():
+        step = jumps.withColumnRenamed("at", "number")
+        opened = written(opened.unionByName(opened.join(step, [*keys, "number"]).select(*keys, F.col("to").alias("number"))).distinct(), "audit-opened")
+        jumps = written(jumps.join(jumps.select(*keys, F.col("at").alias("to"), F.col("to").alias("beyond")), [*keys, "to"]).select(*keys, "at", F.col("beyond").alias("to")), "audit-jumps")
+    return opened
+
+
 def audit_events(lines: DataFrame, number: str = "number", line: str = "line", distance: int = 256) -> DataFrame:
     """(node, serial, event, instant, types, lines): audit records assembled from their lines.
 
     Lines of one event key belong together while they lie within ``distance``
-    lines of the event's first one; later ones open another event.
+    lines of the event's first one; later ones open another event. Lines without
+    a key are in no event; those of a key without a number are one whose event is null.
     """
     node = F.regexp_extract(line, r"^node=(\S+) ", 1)
     stamp = F.regexp_extract(line, r"msg=audit\(([^)]*)\)", 1)
     kind = F.regexp_extract(line, r"type=(\S+)", 1)
     read = lines.select(node.alias("node"), stamp.alias("serial"), kind.alias("type"), audit_time(F.col(line)).alias("instant"), F.col(number).cast("long").alias("number"))
-    # a gap wider than the distance always opens an event, so lists hold the lines between two such gaps
+    # a gap wider than the distance always opens an event: the lines between two such gaps are a stretch
     by_key = Window.partitionBy("node", "serial").orderBy("number")
     opens = F.coalesce(F.col("number") - F.lag("number").over(by_key) > distance, F.lit(True))
-    stretch = read.where("serial <> ''").withColumn("__opens", opens.cast("int"))
-    stretch = stretch.withColumn("__stretch", F.sum("__opens").over(by_key.rowsBetween(Window.unboundedPreceding, 0)))
-    # the first line of the group that a line falls in, by a fold over the lines so far
+    dealt = read.where("serial <> ''").withColumn("__opens", opens)
+    dealt = dealt.withColumn("__stretch", F.sum(F.col("__opens").cast("int")).over(by_key.rowsBetween(Window.unboundedPreceding, 0)))
+    # were an event to open at a line, the next would open at the first line beyond its distance
     in_stretch = Window.partitionBy("node", "serial", "__stretch").orderBy("number")
-    so_far = F.collect_list("number").over(in_stretch.rowsBetween(Window.unboundedPreceding, 0))
-    first = F.aggregate(so_far, F.lit(-1).cast("long"), lambda f, n: F.when((f < 0) | (n - f > distance), n).otherwise(f))
-    grouped = stretch.withColumn("event", first)
+    beyond = F.min("number").over(in_stretch.rangeBetween(distance + 1, 2 * distance))
+    dealt = written(dealt.withColumn("__next", beyond), "audit-lines")
+    jumps = dealt.where("__next is not null").select("node", "serial", F.col("number").alias("at"), F.col("__next").alias("to")).distinct()
+    opened = _followed(dealt.where("__opens").select("node", "serial", "number").distinct(), jumps)
+    marked = dealt.join(opened.withColumn("__first", F.col("number")), ["node", "serial", "number"], "left")
+    grouped = marked.withColumn("event", F.last("__first", ignorenulls=True).over(in_stretch.rangeBetween(Window.unboundedPreceding, 0)))
     return grouped.groupBy("node", "serial", "event").agg(
         F.min("instant").alias("instant"),
         F.transform(F.array_sort(F.collect_list(F.struct("number", "type"))), lambda x: x["type"]).alias("types"),

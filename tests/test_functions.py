@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -117,6 +118,23 @@ def test_readers(spark):
     assert one(spark, lines.command_line(args, F.lit(3))) is None
 
 
+def test_audit_events_of_long_stretches(spark):
+    """Events by brute force, where the lines of a key go on for many times the distance."""
+    rng = random.Random(7)
+    rows = [(n, k) for k in range(4) for n in sorted(rng.sample(range(1, 4000), (900, 200, 20, 1)[k]))]
+    audit = [(n, f"node=h type=T{n} msg=audit(1700000000.123:{k}): x=1") for n, k in rows] + [(5, "no key"), (None, "type=N msg=audit(1700000000.123:9): x=1")]
+    want = {}
+    for k in range(4):
+        first = None
+        for n in (n for n, own in rows if own == k):
+            first = n if first is None or n - first > 256 else first
+            want.setdefault((str(k), first), []).append(f"T{n}")
+    got = lines.audit_events(spark.createDataFrame(audit, "number int, line string")).collect()
+    assert {(r.serial[-1], r.event): list(r.types) for r in got} == want | {("9", None): ["N"]}
+    assert max(len([1 for k, _ in want if k == own]) for own in "0123") > 10
+    assert lines.audit_events(spark.createDataFrame([], "number int, line string")).count() == 0
+
+
 def test_rules(spark):
     with pytest.raises(detect.RuleError):
         detect.compiled({"detection": {"a": {"x": 1}, "condition": "a and ("}}, ["x"])
