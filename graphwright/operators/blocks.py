@@ -42,3 +42,22 @@ def carried(rows: DataFrame, keys: list[str], order: list, known: Column, block:
     own = dealt.withColumn("__own", F.last("__known", ignorenulls=True).over(inside))
     out = own.join(passed, by, "left").withColumn(name, F.coalesce("__own", "__passed"))
     return out.select(*rows.columns, name)
+
+
+def running(rows: DataFrame, keys: list[str], order: list, block: Column, values: dict) -> DataFrame:
+    """rows with the running sum or bit_xor (name: (function, column)) of the keys up to each row, itself included.
+
+    order: columns that grow with the block; keys and blocks are not null. A null
+    counts as zero.
+    """
+    zero = F.lit(0).cast("long")
+    dealt = rows.withColumn("__block", block)
+    by = [*keys, "__block"]
+    inside = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    parts = dealt.groupBy(*by).agg(*(f(c).alias(n) for n, (f, c) in values.items()))
+    passed = parts.select(*by, *(F.coalesce(f(n).over(before), zero).alias(f"__{n}") for n, (f, _) in values.items()))
+    own = dealt.withColumns({n: F.coalesce(f(c).over(inside), zero) for n, (f, c) in values.items()})
+    joined = {F.sum: lambda a, b: a + b, F.bit_xor: lambda a, b: a.bitwiseXOR(b)}
+    out = own.join(passed, by)
+    return out.select(*rows.columns, *(joined[f](F.col(n), F.col(f"__{n}")).alias(n) for n, (f, _) in values.items()))

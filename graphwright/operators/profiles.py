@@ -64,7 +64,7 @@ def leases(values: DataFrame, last: DataFrame) -> DataFrame:
     seconds. A lease runs from the time that its key states, if it does, to that
     moment; 0.0.0.0 is no address. The rows are assignments for ``resolved``.
     """
-    own = profile_values(values).where("part = 'address'")
+    own = written(profile_values(values).where("part = 'address'"), "addresses")
     begun = own.where("name = 'LeaseObtainedTime'").select("terminal", "record", dword(F.col("value")).alias("obtained")).where("obtained > 0")
     named = own.where("name <> 'LeaseObtainedTime'").withColumn("ip", F.explode(F.split(F.trim("value"), r"\s+"))).where("ip not in ('', '0.0.0.0')")
     held = named.join(begun, ["terminal", "record"], "left").join(last.select("terminal", "last"), "terminal", "left")
