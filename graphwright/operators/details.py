@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.storage import written
-from .joins import band_join, interval_candidates
+from .joins import band_join, interval_candidates, merged_spans
 
 #: Outcomes of an origin of matching, the one that counts first first.
 OUTCOMES = (
@@ -357,8 +357,11 @@ def supplemented(records: DataFrame, assignments: DataFrame, bucket: int = 86_40
     """records with terminal_items: the terminals that assignments of their address give at their time, in order.
 
     records (record, address, at), assignments (address, start_s, end_s, terminal).
+    Those of one address and terminal are merged first, so that a record meets a
+    terminal once.
     """
-    held = interval_candidates(records.select("record", "address", "at"), assignments, ["address"], "at", "start_s", "end_s", bucket)
+    spans = merged_spans(assignments.select("address", "terminal", "start_s", "end_s"), ["address", "terminal"], "start_s", "end_s", bucket)
+    held = interval_candidates(records.select("record", "address", "at"), spans, ["address"], "at", "start_s", "end_s", bucket)
     items = held.groupBy("record").agg(F.array_sort(F.collect_set("terminal")).alias("terminal_items"))
     joined = records.join(items, "record", "left")
     return joined.withColumn("terminal_items", F.coalesce("terminal_items", F.array().cast("array<string>")))
