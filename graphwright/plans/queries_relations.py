@@ -24,15 +24,11 @@ def _kind(spark, sf_dir, kind: str):
 @query(f"""
 with e as (select *, {_K} as k from events),
 a as (select event_id as logon, event_id % 4 as t, event_id % 3 as s, ts, k * 16 + user_id % 15 as id from e where event_type = 'signup'),
-b as (select event_id as operation, event_id % 4 as t, event_id % 3 as s, ts, k * 16 + user_id % 15 as id from e where event_type = 'error'),
-p as (
-  select logon, operation,
-         case when a.t <> b.t then 'other_terminal' when a.s <> b.s then 'other_source' when b.ts < a.ts then 'before_logon' end as reason
-  from a join b using (id))
-select operation, logon, reason, 1::bigint as logons from p where reason is null
-union all select operation, null, reason, count(*) from p where reason is not null group by operation, reason""")
+b as (select event_id as operation, event_id % 4 as t, event_id % 3 as s, ts, k * 16 + user_id % 15 as id from e where event_type = 'error')
+select logon, operation, case when a.t <> b.t then 'other_terminal' when a.s <> b.s then 'other_source' when b.ts < a.ts then 'before_logon' end as reason
+from a join b using (id)""")
 def logon_operations(spark, sf_dir):
-    """Operations of a logon session, and how many logons others reject."""
+    """Operations of a logon session, and why others are rejected, pair by pair."""
     t, s = F.col("event_id") % 4, F.col("event_id") % 3
     id_ = F.concat(F.lit("0x00"), F.hex(F.col("k") * 16 + F.col("user_id") % 15))
     a = _kind(spark, sf_dir, "signup").select(F.col("event_id").alias("logon"), t.alias("terminal"), s.alias("source"), F.col("ts").alias("at"), id_.alias("id"))
