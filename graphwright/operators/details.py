@@ -277,8 +277,11 @@ def node_details(summaries: DataFrame, edge_counts: DataFrame, attributes: DataF
 
 
 def edge_details(evidence: DataFrame, groups: list[str]) -> DataFrame:
-    """(edge, records, undated, first_seen, last_seen, groups): edges over their evidence (edge, record, time, group columns)."""
-    by_group = evidence.groupBy("edge", *groups).agg(
+    """(edge, records, undated, first_seen, last_seen, groups): edges over their evidence (edge, record, time, group columns).
+
+    Evidence is dealt out by edge once, for its groups too.
+    """
+    by_group = evidence.repartition("edge").groupBy("edge", *groups).agg(
         F.count("*").alias("n"), F.count_if(F.col("time").isNull()).alias("u"), F.min("time").alias("lo"), F.max("time").alias("hi")
     )
     return by_group.groupBy("edge").agg(
