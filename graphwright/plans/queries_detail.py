@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import network
 from ..functions.times import epoch_s
 from ..operators import details, detect, graph, joins, logsource, meanings
-from .queries_graph import _EVIDENCE, evidence
+from .queries_graph import _EVIDENCE, evidence, named, numbered
 from .registry import query, table
 
 
@@ -303,16 +303,20 @@ a as (select 'p' || p_partkey as node, 'brand:' || p_brand || ';size:' || p_size
 select s.*, edges, attributes, case when s.node like 'c%' then 'matched' else 'not_used_as_origin' end as outcome from s join c using (node) left join a using (node)""")
 def node_details(spark, sf_dir):
     """Each node with its evidence, edges by kind, attributes and outcome."""
-    rows = evidence(spark, sf_dir)
-    out = rows.select(F.col("src").alias("node"), "kind", F.lit("out").alias("direction"), F.col("dst").alias("other"), "record", "time")
-    ways = out.union(rows.select("dst", "kind", F.lit("in"), "src", "record", "time"))
+    ends = F.array(
+        F.struct(F.col("src").alias("node"), F.lit("out").alias("direction"), F.col("dst").alias("other")),
+        F.struct(F.col("dst").alias("node"), F.lit("in").alias("direction"), F.col("src").alias("other")),
+    )
+    # dealt out by node once, as numbers
+    ways = numbered(spark, sf_dir).select(F.explode(ends).alias("w"), "kind", "record", "time").select("w.*", "kind", "record", "time").repartition("node")
     summaries = ways.groupBy("node").agg(F.count_distinct("record").alias("records"), F.min("time").alias("first_seen"), F.max("time").alias("last_seen"))
     counts = ways.groupBy("node", "kind", "direction").agg(F.count_distinct("other").alias("n_edges"))
+    summaries, counts = named(summaries), named(counts)
     part = table(spark, sf_dir, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("node"), F.array(
         F.struct(F.lit("brand").alias("attribute"), F.col("p_brand").alias("values")), F.struct(F.lit("size").alias("attribute"), F.col("p_size").cast("string").alias("values"))
     ).alias("a"))
     attributes = part.select("node", F.explode("a").alias("a")).select("node", "a.*")
-    outcomes = rows.where("kind = 'placed'").select(F.col("src").alias("node")).distinct().withColumn("outcome", F.lit("matched"))
+    outcomes = counts.where("kind = 'placed' and direction = 'out'").select("node", F.lit("matched").alias("outcome"))
     return details.node_details(summaries, counts, attributes, outcomes)
 
 
