@@ -45,7 +45,8 @@ def reached_edges(edges: DataFrame, origins: DataFrame, depth: int) -> DataFrame
     if depth < 1:
         return edges.limit(0)
     inner = reached(edges, origins, depth - 1).select("node")
-    own = both_ways(edges).join(inner.withColumnRenamed("node", "src"), "src", "left_semi").select("edge").distinct()
+    ends = edges.select("edge", F.explode(F.array("src", "dst")).alias("node"))
+    own = written(ends.join(inner, "node", "left_semi").select("edge").distinct(), "met")
     return edges.join(own, "edge", "left_semi")
 
 
