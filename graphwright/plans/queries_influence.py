@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.times import epoch_s
 from ..operators import clocks, influence
+from ..plans.storage import written
 from .registry import query, table
 
 
@@ -142,7 +143,9 @@ def versioned_arrivals(spark, sf_dir):
     name = [F.concat_ws("@", side, F.col(f"{side}_version").cast("string")).alias(side) for side in ("src", "dst")]
     spans = [F.col(c).alias(f"{way}_{c}") for way in ("depart", "arrive") for c in ("lo", "hi")]
     starts = spark.createDataFrame([(1, "u1", 1704067200)], "question int, node string, at long")
-    return influence.earliest(pieces.select(*name, *spans), starts, ["question"]).select("node", "value")
+    # every round reads the pieces
+    ways = written(pieces.select(*name, *spans), "pieces")
+    return influence.earliest(ways, starts, ["question"]).select("node", "value")
 
 
 def _timed(spark, sf_dir, clock) -> DataFrame:
