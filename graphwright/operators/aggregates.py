@@ -172,15 +172,17 @@ def relations(roles: DataFrame) -> DataFrame:
     """(a, b, a_role, b_role, records, first_seen, last_seen) of accounts named by one record.
 
     roles: (record, account, role, time). A record names few accounts, so the
-    join by record is bounded by the rows of a record.
+    join by record is bounded by the rows of a record. Each role of a record is
+    one row before the join, so that pairs are counted and no record is kept.
     """
-    left = roles.select("record", "time", F.col("account").alias("a"), F.col("role").alias("a_role"))
-    right = roles.select("record", F.col("account").alias("b"), F.col("role").alias("b_role"))
+    own = roles.groupBy("record", "account", "role").agg(F.min("time").alias("first"), F.max("time").alias("last"))
+    left = own.select("record", "first", "last", F.col("account").alias("a"), F.col("role").alias("a_role"))
+    right = own.select("record", F.col("account").alias("b"), F.col("role").alias("b_role"))
     return (
         left.join(right, "record")
         .where("a <> b")
         .groupBy("a", "b", "a_role", "b_role")
-        .agg(F.count_distinct("record").alias("records"), F.min("time").alias("first_seen"), F.max("time").alias("last_seen"))
+        .agg(F.count("*").alias("records"), F.min("first").alias("first_seen"), F.max("last").alias("last_seen"))
     )
 
 
