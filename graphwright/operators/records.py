@@ -33,10 +33,11 @@ def intra_record_links(named: DataFrame) -> DataFrame:
     """(kind, src, dst, records) of relations between objects of one record.
 
     A record's objects are few, and the pairs of its lists are what a relation
-    is; the kinds are a fixed list.
+    is; the kinds are a fixed list. A record is one row and its objects differ,
+    so a relation's rows are its records.
     """
     kinds = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(k).alias("kind")) for a, b, k in LINKS))
-    lists = named.groupBy("record").agg(F.collect_set(F.struct("object", "value")).alias("o"))
+    lists = named.where("record is not null").groupBy("record").agg(F.collect_set(F.struct("object", "value")).alias("o"))
     ends = lists.select("record", "o", F.explode(kinds).alias("k"))
 
     def of(kind: str):
@@ -45,7 +46,7 @@ def intra_record_links(named: DataFrame) -> DataFrame:
     src = ends.select("record", "k", "o", F.explode(of("k.a")).alias("s"))
     both = src.select("record", "k", "s", F.explode(of("k.b")).alias("d"))
     return both.groupBy(F.col("k.kind").alias("kind"), F.col("s.value").alias("src"), F.col("d.value").alias("dst")).agg(
-        F.count_distinct("record").alias("records")
+        F.count("*").alias("records")
     )
 
 
@@ -64,9 +65,14 @@ def grouped_attributes(df: DataFrame) -> DataFrame:
 
 
 def co_occurring(df: DataFrame) -> DataFrame:
-    """(a, b, records): unordered pairs of objects named by one record."""
-    a, b = df.select("record", F.col("object").alias("a")), df.select("record", F.col("object").alias("b"))
-    return a.join(b, "record").where("a < b").groupBy("a", "b").agg(F.count_distinct("record").alias("records"))
+    """(a, b, records): unordered pairs of objects named by one record.
+
+    A record names an object once before the join, so that pairs are counted and
+    no record is kept.
+    """
+    own = df.select("record", "object").distinct()
+    a, b = own.select("record", F.col("object").alias("a")), own.select("record", F.col("object").alias("b"))
+    return a.join(b, "record").where("a < b").groupBy("a", "b").agg(F.count("*").alias("records"))
 
 
 def joined_fragments(df: DataFrame) -> DataFrame:
