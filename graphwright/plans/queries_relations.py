@@ -137,13 +137,13 @@ def _connections(spark, sf_dir):
         F.concat(F.lit("10.0.0."), (F.col("user_id") % 7).cast("string")).alias("ip"),
         at.alias("start"), (at + 43200 * (1 + F.col("k") % 3)).alias("stop"), (F.col("user_id") % 5).alias("owner"),
     )
-    return logons.same_connections(rows, given, 43_200)
+    return rows, given, 43_200
 
 
 @query(_SAME + " select * from one union all select * from two union all select * from three")
 def same_connections(spark, sf_dir):
     """Records of one connection: opened and closed, near each other, or seen by both terminals."""
-    return _connections(spark, sf_dir)[0]
+    return logons.same_connections(*_connections(spark, sf_dir))
 
 
 @query(_SAME + """
@@ -156,7 +156,7 @@ select 'across', case when not has then 'none' when n = 0 then 'outside_range' w
 from res join r using (record) where record not in (select first from three) group by reason""")
 def unrelated_connections(spark, sf_dir):
     """Records of connections that a rule relates to no other, by the reason."""
-    return _connections(spark, sf_dir)[1]
+    return logons.unrelated_connections(*_connections(spark, sf_dir))
 
 
 @query(f"""
