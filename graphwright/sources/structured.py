@@ -197,26 +197,43 @@ def strftime_time(text: Column, fmt: str) -> tuple[Column, bool]:
     return F.timestamp_add("MINUTE", sign * offset, time), True
 
 
-def event_records(xml: DataFrame, column: str = "xml") -> DataFrame:
-    """provider, event_id, computer, record_number, instant and data of event XML."""
-    c = F.col(column)
+#: The single values of an event and where they stand.
+_EVENT_PARTS = {
+    "provider": "/Event/System/Provider/@Name",
+    "event_id": "/Event/System/EventID",
+    "computer": "/Event/System/Computer",
+    "record_number": "/Event/System/EventRecordID",
+    "channel": "/Event/System/Channel",
+    "instant": "/Event/System/TimeCreated/@SystemTime",
+    "odd": "count(/Event/EventData/Data[text()][count(text()) != 1 or not(@Name)])",
+}
+_DATA_NAMES, _DATA_TEXTS = "/Event/EventData/Data[text()]/@Name", "/Event/EventData/Data/text()"
+
 
-    def text(path: str) -> Column:
-        return F.nullif(F.xpath_string(c, F.lit(path)), F.lit(""))
+def event_records(xml: DataFrame, column: str = "xml") -> DataFrame:
+    """provider, event_id, computer, record_number, instant and data of event XML.
 
-    bodies = F.xpath(c, F.lit("/Event/EventData/Data/text()"))
-    filled = F.xpath(c, F.lit("/Event/EventData/Data[text()]/@Name"))
-    return xml.withColumns(
+    Every path that is asked for reads the whole text anew, so the single values
+    are one path, between characters that no XML may hold, and so are the names
+    and values of the data, which take turns where each value is one text with a name.
+    """
+    c = F.col(column)
+    whole = F.xpath_string(c, F.lit("concat(" + ", '\x01', ".join(_EVENT_PARTS.values()) + ")"))
+    out = xml.withColumn("__parts", F.split(whole, "\x01")).withColumn("__turns", F.xpath(c, F.lit(f"{_DATA_NAMES} | {_DATA_TEXTS}")))
+    part = {n: F.nullif(F.get("__parts", F.lit(i)), F.lit("")) for i, n in enumerate(_EVENT_PARTS)}
+    names, texts = F.filter("__turns", lambda _, i: i % 2 == 0), F.filter("__turns", lambda _, i: i % 2 == 1)
+    apart = F.map_from_arrays(F.xpath(c, F.lit(_DATA_NAMES)), F.xpath(c, F.lit(_DATA_TEXTS)))
+    return out.withColumns(
         {
-            "provider": text("/Event/System/Provider/@Name"),
-            "event_id": text("/Event/System/EventID").cast("int"),
-            "computer": text("/Event/System/Computer"),
-            "record_number": text("/Event/System/EventRecordID").cast("long"),
-            "channel": text("/Event/System/Channel"),
-            "instant": F.try_to_timestamp(text("/Event/System/TimeCreated/@SystemTime")),
-            "data": F.map_from_arrays(filled, bodies),
+            "provider": part["provider"],
+            "event_id": part["event_id"].cast("int"),
+            "computer": part["computer"],
+            "record_number": part["record_number"].cast("long"),
+            "channel": part["channel"],
+            "instant": F.try_to_timestamp(part["instant"]),
+            "data": F.when(part["odd"] == "0", F.map_from_arrays(names, texts)).otherwise(apart),
         }
-    )
+    ).drop("__parts", "__turns")
 
 
 def rename_of(events: DataFrame) -> DataFrame:
