@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 #: The operators of a term.
 OPERATORS = ("==", "!=", ">=", "<=", ">", "<", "contains")
 _DECIMAL = r"^[+-]?\d+(\.\d+)?$"
-#: Decimals that fit a decimal(38, 10).
-_SHORT = r"^[+-]?\d{1,28}(\.\d{1,10})?$"
+#: Decimals that fit a decimal(38, 10), but for zeros at their ends.
+_SHORT = r"^[+-]?0*\d{1,28}(\.\d{1,10}0*)?$"
 #: Types whose order is that of their decimal text.
 _NUMERIC = ("tinyint", "smallint", "int", "bigint", "decimal", "float", "double")
 
