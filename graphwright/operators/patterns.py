@@ -18,6 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.storage import written
 from .detect import RuleError
 
 _BREAKS = r"[\s\"'(),;=|&]+"
@@ -108,6 +109,23 @@ def validate(pattern: dict) -> list[str]:
     return order
 
 
+def _possible(pattern: dict, of_role, edges: DataFrame) -> DataFrame:
+    """Rows of edges of the kinds asked for, but those with an end where the kind allows one node role only and that role not this node."""
+    asked = list(pattern["edges"].values())
+    kinds = sorted({e["kind"] for e in asked})
+    out = edges.where(F.col("kind").isin(kinds))
+    for end, column in (("from", "src"), ("to", "dst")):
+        roles = {k: {e[end] for e in asked if e["kind"] == k} for k in kinds}
+        fixed = {k: next(iter(r)) for k, r in roles.items() if len(r) == 1 and pattern["nodes"][next(iter(r))].get("where")}
+        if not fixed:
+            continue
+        allowed = [of_role(role).select(F.lit(k).alias("kind"), F.col(role).alias(column)) for k, role in fixed.items()]
+        met = out.join(reduce(DataFrame.union, allowed), ["kind", column], "left_semi")
+        rest = out.where(~F.col("kind").isin(list(fixed)))
+        out = (met if len(fixed) == len(kinds) else met.unionByName(rest)).select(*edges.columns)
+    return out
+
+
 def matches(
     pattern: dict, nodes: DataFrame, edges: DataFrame, evidence: DataFrame, observed_inputs: set[str] = frozenset()
 ) -> tuple[DataFrame | None, str | None]:
@@ -116,20 +134,28 @@ def matches(
     nodes (node, kind, attributes map<string, array<string>>), edges (edge,
     kind, src, dst), evidence (edge, time in seconds). An edge binds one role
     only. Order asks for evidence of both edges in order, within the seconds.
+
+    edges (kind, src, dst, time) without an evidence table are the evidence in
+    long form, and an edge is its kind and ends. Rows with an end that no node
+    can be are left out first, and only the others are made distinct.
     """
     missing = sorted(set(pattern.get("inputs", [])) - set(observed_inputs))
     if missing:
         return None, f"input not observed: {missing[0]}"
     order = validate(pattern)
-    joined_roles = {p.split(".")[0] for j in pattern.get("joins", []) for pair in j.values() for p in pair}
+    asked = {tuple(p.split(".", 1)) for j in pattern.get("joins", []) for pair in j.values() for p in pair}
 
     def of_role(role: str) -> DataFrame:
         spec = pattern["nodes"][role]
         rows = nodes.where(F.col("kind") == spec["kind"])
         for name, test in spec.get("where", {}).items():
             rows = rows.where(predicate(test, F.col("attributes")[name]))
-        keep = [F.col("attributes").alias(f"__{role}")] if role in joined_roles else []
-        return rows.select(F.col("node").alias(role), *keep)
+        own = [F.col("attributes")[f].alias(f) for r, f in sorted(asked) if r == role]
+        return rows.select(F.col("node").alias(role), *([F.struct(*own).alias(f"__{role}")] if own else []))
+
+    if evidence is None and "time" in edges.columns:
+        held = written(_possible(pattern, of_role, edges), "edges").withColumn("edge", F.struct("kind", "src", "dst"))
+        edges, evidence = held.select("edge", "kind", "src", "dst").distinct(), held.select("edge", "time").distinct()
 
     out, bound = None, set()
     for role in order:

@@ -67,3 +67,25 @@ def test_joins(spark, name, left, right, hit):
     p = {"nodes": {"a": {"kind": "n"}, "b": {"kind": "n"}}, "edges": {"x": {"kind": "k", "from": "a", "to": "b"}}, "joins": [{name: ["a.v", "b.v"]}]}
     found, why = patterns.matches(p, nodes, edges, None)
     assert why is None and found.count() == hit
+
+
+def test_evidence_in_long_form(spark):
+    """Edges with their times, repeats included, give what edges and evidence of their own give; rows no role can hold are left out early."""
+    kind = "struct<node: int, kind: string, attributes: map<string, array<string>>>"
+    nodes = spark.createDataFrame([(i, "bps"[i % 3], {"v": [str(i % 4)]}) for i in range(30)], kind)
+    rows = [(("placed", "supplied")[i % 2], (3 * (i // 2) + 2 * (i % 2)) % 30, 3 * (i // 3 * 7 % 10) + 1, i * 13 % 40) for i in range(120)]
+    rows += rows[:40] + [("other", 0, 1, 5), ("placed", 0, None, 5), ("placed", None, 1, 5), ("placed", 0, 1, None)]
+    long = spark.createDataFrame(rows, "kind string, src int, dst int, time long")
+    pattern = {
+        "nodes": {"b": {"kind": "b"}, "p": {"kind": "p", "where": {"v": {"in": ["0", "1", "2"]}}}, "s": {"kind": "s", "where": {"v": {"present": True}}}, "t": {"kind": "s"}},
+        "edges": {"x": {"kind": "placed", "from": "b", "to": "p"}, "y": {"kind": "supplied", "from": "s", "to": "p"}, "z": {"kind": "supplied", "from": "t", "to": "p"}},
+        "distinct": [["s", "t"]],
+        "joins": [{"equal": ["b.v", "s.v"]}],
+        "order": [{"before": ["y", "z"], "within": 20}],
+    }
+    keyed = long.withColumn("edge", F.struct("kind", "src", "dst"))
+    want, _ = patterns.matches(pattern, nodes, keyed.select("edge", "kind", "src", "dst").distinct(), keyed.select("edge", "time").distinct())
+    found, why = patterns.matches(pattern, nodes, long, None)
+    assert why is None and sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect())) != []
+    only = patterns._possible(pattern, lambda r: nodes.where(F.col("node") == 1).select(F.col("node").alias(r)), long)
+    assert {r.dst for r in only.collect()} == {1} and {r.kind for r in only.collect()} <= {"placed", "supplied"}
