@@ -679,6 +679,25 @@ def test_common_places():
     assert set(zip(*(p.tolist() for p in passages.common(x, y, -9, 5)), strict=True)) == want
 
 
+@pytest.mark.parametrize("heavy", [False, True])
+def test_passages_of_frequent_phrases(spark, heavy):
+    """Passages all of whose common words are phrases that many texts hold, each text in surroundings of its own."""
+    rng = random.Random(19)
+    some = lambda n: ["".join(rng.choices("abcdefghij", k=6)) for _ in range(n)]
+    phrases = [some(7) for _ in range(24)]
+    texts = [some(20) + [w for p in rng.sample(phrases, 4) for w in p + some(60)] for _ in range(160)]
+    pairs = []
+    for _ in range(20):
+        own = rng.sample(phrases, 8)
+        pairs.append((len(texts), len(texts) + 1))
+        texts += [some(30) + [w for i, p in enumerate(own) for w in p + some(1 + i % 2)] + some(30) for _ in range(2)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    how = {"heavy_rows": 5, "sample": 1} if heavy else {}
+    rows = passages.repeated_passages(docs, **how).collect()
+    assert all(r.n_words >= 50 and r.similarity >= 0.8 for r in rows)
+    assert {(r.other_id, r.doc_id) for r in rows} >= set(pairs)
+
+
 def test_passages_odd(odd, empty):
     rows = passages.repeated_passages(odd.unionByName(odd.selectExpr("*").where("doc_id = 5").withColumn("doc_id", odd.doc_id + 100))).collect()
     assert {(r.doc_id, r.other_id) for r in rows} == {(105, 5)}
