@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, merged, whole_groups, written
+from .common import components, dropped, merged, whole_groups, written
 
 #: Largest group that one task compares as a whole.
 GROUP = 2000
@@ -184,15 +184,19 @@ def _linked(rows: DataFrame, keys: list[str], budget: int) -> DataFrame:
 
 
 def links(
-    classes: DataFrame, bits: int = 4, group: int = GROUP, levels: int = LEVELS, width: int = 64, by: tuple = (), linked=None
+    classes: DataFrame, bits: int = 4, group: int = GROUP, levels: int = LEVELS, width: int = 64, by: tuple = (), linked=None, made: list | None = None
 ) -> DataFrame:
     """Links (a, b) that connect all distinct fingerprints within ``bits`` bits.
 
     classes: one row for each distinct fingerprint, in column fp of ``width``
     bits. Only rows equal in the columns ``by`` are compared; linked gives the
-    links of dealt rows.
+    links of dealt rows. A group is dealt out again if it is over ``group`` rows
+    and over twice what even bits give a group: else all rows of a large table
+    would be. Tables that the links are read from are added to ``made``.
     """
-    linked = linked or _linked
+    linked, made = linked or _linked, [] if made is None else made
+    most = classes.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+    group = max(group, 2 * most >> width // (bits + 1))
     own = [c for c in classes.columns if c not in by]
     paths = {0: (0, list(range(width - 1, -1, -1)))}
     rows, found = classes.withColumn("path", F.lit(0)), []
@@ -211,11 +215,13 @@ def links(
         keys = [*by, "path", "bits"]
         sizes = keyed.groupBy(*keys).count()
         hot = written(sizes.where(F.col("count") > group), "hot")
+        made.append(hot)
         if hot.isEmpty():
             found.append(linked(keyed, keys, bits))
             break
         found.append(linked(keyed.join(hot, keys, "left_anti"), keys, bits))
         rows = written(keyed.join(hot.drop("count"), keys, "left_semi").distinct(), "hot-rows")
+        made.append(rows)
         paths = following
     else:
         found.append(_in_pieces(rows, hot, bits, group, by, linked))
@@ -414,13 +420,17 @@ def _verified_groups(dealt: DataFrame, sets_of, most: int, group: int, similarit
     that would hold.
     """
     rows, forests, links_found, sets = dealt.withColumn("label", F.col("cid")), 1, None, None
+    made, groups = [], None
     while True:
         found = written(
-            links(rows, SHORT_BUDGET, group, LEVELS, SHORT_BITS, ("t",), _nearest_links(most, forests))
+            links(rows, SHORT_BUDGET, group, LEVELS, SHORT_BITS, ("t",), _nearest_links(most, forests), made)
             .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
             .distinct(),
             "near-pairs",
         )
+        made += [] if groups is None else [groups]
+        for table in made:  # what the last round was read from
+            dropped(table)
         edges = found.where("a <> b")
         if sets is None:  # every row with a near pair is in a forest of the first round
             sets = written(sets_of(edges.select(F.col("a").alias("cid")).union(edges.select("b")).distinct()), "shingles")
@@ -429,10 +439,12 @@ def _verified_groups(dealt: DataFrame, sets_of, most: int, group: int, similarit
         again = found.where("a = b").select(F.col("a").alias("cid"))
         groups = written(components(links_found), "groups")
         if again.isEmpty():
+            dropped(found)
             return groups
         label = F.coalesce("component", "cid").alias("label")
         asked = dealt.join(again, "cid", "left_semi").join(groups, F.col("cid") == F.col("node"), "left")
         rows = written(asked.select(*dealt.columns, label), "apart")
+        made = [found, rows]
         forests *= 4
 
 

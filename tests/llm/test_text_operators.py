@@ -206,6 +206,28 @@ def test_trie_links(spark, group):
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
 
 
+def test_large_tables_are_not_dealt_again(spark, monkeypatch):
+    """Even bits of many rows make groups over the limit; only what is uneven is dealt out once more."""
+    fp = np.unique(np.random.default_rng(8).integers(0, 1 << 32, 6000))
+    fp = np.unique(np.r_[fp, fp[:200] ^ 1, fp[200:400] ^ (1 << 31 | 1 << 15 | 1)])
+    dealt, real = [], simhash.written
+
+    def counted(df, name):
+        out = real(df, name)
+        dealt.append(out.count() if name == "hot-rows" else 0)
+        return out
+
+    monkeypatch.setattr(simhash, "written", counted)
+    classes = spark.createDataFrame([(int(x),) for x in fp], "fp long")
+    got = {frozenset((r.a, r.b)) for r in simhash.links(classes, 3, 10, width=32).collect()}
+    x = fp.astype(np.uint64)
+    i, j = np.nonzero(np.triu(np.bitwise_count(x[:, None] ^ x[None, :]) <= 3, 1))
+    root, linked = merged(np.arange(len(x)), i, j), {int(v): k for k, v in enumerate(fp)}
+    a, b = (np.array(v) for v in zip(*(sorted(linked[int(v)] for v in e) for e in got), strict=True))
+    assert (merged(np.arange(len(x)), a, b) == root).all()
+    assert sum(dealt) < len(fp)  # of four times as many dealt rows
+
+
 def similar_groups(texts, least=0.8, n=5):
     """Root index of each text over links of a Jaccard similarity of least or more."""
     sets = []
