@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from ..functions.times import epoch_s
 from ..operators import clocks, influence
-from ..plans.storage import written
 from .registry import query, table
 
 
@@ -139,13 +138,9 @@ a(node, tm) as (
 select node, min(tm)::bigint as value from a group by node""")
 def versioned_arrivals(spark, sf_dir):
     """When a user's influence first reaches each user and each version of a file; replaced content leads nowhere."""
-    pieces = influence.versioned(_contacts(spark, sf_dir), _replacements(spark, sf_dir))
-    name = [F.concat_ws("@", side, F.col(f"{side}_version").cast("string")).alias(side) for side in ("src", "dst")]
-    spans = [F.col(c).alias(f"{way}_{c}") for way in ("depart", "arrive") for c in ("lo", "hi")]
     starts = spark.createDataFrame([(1, "u1", 1704067200)], "question int, node string, at long")
-    # every round reads the pieces
-    ways = written(pieces.select(*name, *spans), "pieces")
-    return influence.earliest(ways, starts, ["question"]).select("node", "value")
+    found = influence.version_arrivals(_contacts(spark, sf_dir), _replacements(spark, sf_dir), starts)
+    return found.select(F.concat_ws("@", "node", F.col("version").cast("string")).alias("node"), "value")
 
 
 def _timed(spark, sf_dir, clock) -> DataFrame:
